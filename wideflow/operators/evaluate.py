@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from wideflow.functions.expr import ratio, THRESHOLD_INDEX_MAX
 from wideflow.functions.ranking import ordered_scan
+from wideflow.session import materialize
 
 
 def _by(by: Sequence[str] | str | None) -> list[str]:
@@ -45,9 +46,9 @@ def score_counts(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     """(by..., score, pos, neg): positives and negatives per distinct score."""
     g = _by(by)
     d = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    return d.groupBy(*g, F.col(score).cast("double").alias("score")).agg(
+    return materialize(d.groupBy(*g, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).cast("bigint").alias("pos"),
-        F.count_if(F.col(label) != 1).cast("bigint").alias("neg"))
+        F.count_if(F.col(label) != 1).cast("bigint").alias("neg")))
 
 
 # ---------------------------------------------------------------- EVL-1..3, 9
@@ -264,8 +265,8 @@ def threshold_sweep(df: DataFrame, label: str, score: str, fold: str = "fold") -
     n = THRESHOLD_INDEX_MAX + 1
     d = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     k = thresholds_below(F.col(score).cast("double"))
-    counts = d.groupBy(F.col(fold).alias("fold"), k.alias("k")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    counts = materialize(d.groupBy(F.col(fold).alias("fold"), k.alias("k")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")))
     folds = counts.groupBy("fold").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     grid = folds.select("fold", "__p", "__n", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
     dense = grid.join(counts, on=["fold", "k"], how="left").fillna(0, subset=["pos", "neg"])

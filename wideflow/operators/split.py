@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from wideflow.functions.expr import hex_bucket, md5_order_key
 from wideflow.functions.ranking import ranked_within
+from wideflow.session import materialize
 
 KEY = "__key"
 
@@ -60,15 +61,64 @@ def train_allocation(df: DataFrame, label: str, ratios: Sequence[float]) -> Data
     return a.select("ratio_idx", "split_ratio", label, "n_class", "n_train")
 
 
+# Largest status table (rows) that is broadcast; its size is known up front.
+MAX_BROADCAST_STATUS_ROWS = 2_000_000
+
+
+def _beyond_cuts(d: DataFrame, parts: Sequence[str], id_col: str, cuts: DataFrame,
+                 cut_cols: Sequence[str], join_col: str, n_groups: int,
+                 digits: int = 3) -> DataFrame:
+    """Add boolean ``__out_<c>`` = (seeded rank within ``parts`` > cut ``c``).
+
+    The rank order is (md5 key, id).  Rows are bucketed by the key's leading
+    hex digits; per-bucket counts give each bucket's rank range, so a bucket
+    lies wholly below or wholly above a cut, except the one bucket per cut
+    that straddles it.  Only rows of straddling buckets are ranked exactly
+    (a window over that bucket alone); every other row is decided by a
+    broadcast lookup.  No full sort of the data happens at any size.
+    ``cuts`` holds one row per ``join_col`` value with the cut columns;
+    ``n_groups`` is the number of distinct ``parts`` values, which bounds
+    the status table at ``n_groups * 16**digits`` rows whatever the data
+    size.  Within that bound it is broadcast, so the rows are never shuffled
+    for the lookup.
+    """
+    p = list(parts)
+    b = "__b"
+    d = d.withColumn(b, hex_bucket(KEY, digits))
+    counts = d.groupBy(*p, b).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*p).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    status = counts.withColumn("__o", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    status = status.join(cuts, on=join_col, how="inner")
+    straddle = F.lit(False)
+    sel = [*p, b, "__o"]
+    for c in cut_cols:
+        lo, hi = F.col("__o"), F.col("__o") + F.col("__n")
+        straddle = straddle | ((lo < F.col(c)) & (hi > F.col(c)))
+        sel += [c, (lo >= F.col(c)).alias(f"__all_out_{c}")]
+    status = status.select(*sel, straddle.alias("__straddle"))
+    if n_groups * 16 ** digits <= MAX_BROADCAST_STATUS_ROWS:
+        status = F.broadcast(status)
+    j = d.join(status, on=[*p, b], how="inner")
+    exact = j.where(F.col("__straddle"))
+    rank = F.row_number().over(Window.partitionBy(*p, b).orderBy(F.col(KEY), F.col(id_col))) + F.col("__o")
+    exact = exact.select("*", *[(rank > F.col(c)).alias(f"__out_{c}") for c in cut_cols])
+    rest = j.where(~F.col("__straddle"))
+    rest = rest.select("*", *[F.col(f"__all_out_{c}").alias(f"__out_{c}") for c in cut_cols])
+    drop = [b, "__o", "__straddle", *cut_cols, *[f"__all_out_{c}" for c in cut_cols]]
+    return exact.unionByName(rest).drop(*drop)
+
+
+
 def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float = 0.2,
                      seed: int = 11, out: str = "split") -> DataFrame:
     """SPL-1: add ``split`` = 'train' / 'test'.  Rows with a NULL label are dropped."""
     d = df.where(F.col(label).isNotNull())
     alloc = train_allocation(d, label, [test_size]).select(label, "n_train")
-    r = seeded_rank(d, id_col, label, seed, out="__rank")
-    r = r.join(alloc, on=label, how="inner")
-    return (r.withColumn(out, F.when(F.col("__rank") <= F.col("n_train"), "train").otherwise("test"))
-             .drop("__rank", "n_train"))
+    d = d.withColumn(KEY, md5_order_key(seed, id_col))
+    alloc = materialize(alloc)
+    r = _beyond_cuts(d, [label], id_col, alloc, ["n_train"], label, n_groups=alloc.count())
+    return (r.withColumn(out, F.when(F.col("__out_n_train"), "test").otherwise("train"))
+             .drop(KEY, "__out_n_train"))
 
 
 def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 11,
@@ -93,22 +143,24 @@ def sweep_test_counts(df: DataFrame, id_col: str, label: str, score: str,
     """
     d = (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
            .select(id_col, label, F.col(score).cast("double").alias("score")))
+    d = materialize(d, spread=True)
     score = "score"
     alloc = train_allocation(d, label, ratios)
     nr = len(ratios)
     wide = (alloc.groupBy(label).pivot("ratio_idx", list(range(nr)))
                  .agg(F.first("n_train")))
-    wide = wide.select(label, *[F.col(str(i)).alias(f"__nt{i}") for i in range(nr)])
+    wide = materialize(wide.select(label, *[F.col(str(i)).alias(f"__nt{i}") for i in range(nr)]))
     seeded = d.select("*", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"))
-    r = seeded_rank(seeded, id_col, label, F.col("seed"), partition_cols=["seed"], out="__rank")
-    r = r.join(wide, on=label, how="inner")
+    seeded = seeded.withColumn(KEY, md5_order_key(F.col("seed"), id_col))
+    cut_cols = [f"__nt{i}" for i in range(nr)]
+    r = _beyond_cuts(seeded, ["seed", label], id_col, wide, cut_cols, label,
+                     n_groups=len(seeds) * wide.count())
     agg = r.groupBy("seed", label, score).agg(
-        *[F.sum(F.when(F.col("__rank") > F.col(f"__nt{i}"), 1).otherwise(0)).alias(f"__t{i}")
-          for i in range(nr)])
+        *[F.sum(F.col(f"__out_{c}").cast("int")).alias(f"__t{i}") for i, c in enumerate(cut_cols)])
     per = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("split_ratio"), F.col(f"__t{i}").alias("n"))
                               for i, x in enumerate(ratios)])).alias("p")
     long = agg.select("seed", label, score, per).select("seed", label, score, "p.*")
-    return (long.groupBy("seed", "split_ratio", score)
+    return materialize(long.groupBy("seed", "split_ratio", score)
                 .agg(F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).cast("bigint").alias("pos"),
                      F.sum(F.when(F.col(label) == 0, F.col("n")).otherwise(0)).cast("bigint").alias("neg"))
                 .where((F.col("pos") + F.col("neg")) > 0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,8 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.files.openCostInBytes", str(256 * 1024))
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.default.parallelism", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
@@ -66,3 +69,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def env_cores(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))
+
+
+def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Compute ``df`` once, store it as Parquet in the shared checkpoint
+    folder and return a DataFrame that scans the stored copy.
+
+    Used where an operator reads the same intermediate table in several
+    branches (e.g. counts feeding both a confusion matrix and a running sum):
+    without it every branch recomputes the whole upstream plan.  One job
+    writes the table; later scans prune columns and give AQE exact sizes.
+    The copy lives in ``spark.checkpoint.dir``, so it survives the loss of
+    the executors that computed it.
+
+    ``spread`` round-robins the rows over the default parallelism before the
+    write; use it for small inputs that are about to be fanned out (e.g. one
+    copy per seed), so the fan-out does not run in a handful of tasks.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/wideflow-tables/{uuid.uuid4().hex}"
+    if spread:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
