@@ -118,3 +118,10 @@ def with_obs(body: str, *ctes: str) -> str:
     """Prefix an oracle query with the ``obs`` CTE (and any further CTEs)."""
     extra = "".join(f",\n{c}" for c in ctes)
     return f"WITH {OBS_SQL.strip()}{extra}\n{body}"
+
+
+# Column order of ``obs`` and the double-typed ones (for generated SQL).
+OBS_COLUMNS = ["id", "n_lines", "l_q", "r_q", "l_p", "r_p", "l_d", "r_d", "sbp", "dbp", "bmi", "sex",
+               "ethnicity", "grade", "status", "smoke", "lab", "sparse20", "sparse10", "const1",
+               "const_null", "txt", "y_signal", "y_noise"]
+OBS_DOUBLES = ["l_q", "r_q", "l_p", "r_p", "l_d", "r_d", "sbp", "dbp", "bmi", "lab", "sparse20", "sparse10"]
