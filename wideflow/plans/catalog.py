@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "wideflow.plans.q_evaluate",
     "wideflow.plans.q_clean",
+    "wideflow.plans.q_impute",
 ]
 
 
