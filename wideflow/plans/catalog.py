@@ -8,6 +8,7 @@ _MODULES = [
     "wideflow.plans.q_evaluate",
     "wideflow.plans.q_clean",
     "wideflow.plans.q_impute",
+    "wideflow.plans.q_models",
 ]
 
 

@@ -105,3 +105,15 @@ FROM {name}_cm a JOIN {name}_area b ON {on}"""
 
 
 METRIC_DOUBLES = ["decision_threshold", "accuracy", "precision", "recall", "f1_score", "auc", "pr_auc"]
+
+
+def auc_sql(counts: str, groups: list[str], name: str = "auc") -> list[str]:
+    """CTEs giving (groups, auc) from a (groups, score, pos, neg) CTE."""
+    g = ", ".join(groups)
+    return [
+        f"""{name}_scan AS (SELECT {g}, score, pos, neg,
+              SUM(pos) OVER w AS cum_pos, SUM(neg) OVER w AS cum_neg FROM {counts}
+            WINDOW w AS (PARTITION BY {g} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+        f"""{name} AS (SELECT {g}, CAST(SUM(neg * (2 * cum_pos - pos)) AS DOUBLE) / NULLIF(2 * SUM(pos) * SUM(neg), 0)
+              AS auc FROM {name}_scan GROUP BY {g})""",
+    ]
