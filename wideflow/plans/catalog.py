@@ -9,6 +9,7 @@ _MODULES = [
     "wideflow.plans.q_clean",
     "wideflow.plans.q_impute",
     "wideflow.plans.q_models",
+    "wideflow.plans.q_select",
 ]
 
 
