@@ -10,6 +10,7 @@ _MODULES = [
     "wideflow.plans.q_impute",
     "wideflow.plans.q_models",
     "wideflow.plans.q_select",
+    "wideflow.plans.q_explain",
 ]
 
 
