@@ -78,21 +78,21 @@ def shapley_values(predict_fn: Predictor, df: DataFrame, id_col: str, features:
     p = len(feats)
     perms = permutations(p, n_perm, seed)
     pos = [[perm.index(i) for i in range(p)] for perm in perms]   # position of feature i in perm k
-    combos = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b).alias("b"), F.lit(j).alias("j"))
+    combos = F.explode(F.array(*[F.struct(F.lit(k).alias("__k"), F.lit(b).alias("__b"), F.lit(j).alias("__j"))
                                  for k in range(n_perm) for b in range(len(bg)) for j in range(p + 1)]))
-    d = df.select(F.col(id_col).alias("__id"), *feats, combos.alias("c")).select("__id", *feats, "c.*")
+    d = df.select(F.col(id_col).alias("__id"), *feats, combos.alias("__c")).select("__id", *feats, "__c.*")
     hybrid = []
     for i, f in enumerate(feats):
-        at = F.element_at(F.array(*[F.lit(pos[k][i]) for k in range(n_perm)]), F.col("k") + 1)
-        bval = F.element_at(F.array(*[F.lit(row[i]) for row in bg]), F.col("b") + 1)
-        hybrid.append(F.when(at < F.col("j"), F.col(f).cast("double")).otherwise(bval).alias(f))
-    h = predict_fn(d.select("__id", "k", "b", "j", *hybrid)).select("__id", "k", "b", "j", "__f")
-    w = Window.partitionBy("__id", "k", "b").orderBy("j")
+        at = F.element_at(F.array(*[F.lit(pos[k][i]) for k in range(n_perm)]), F.col("__k") + 1)
+        bval = F.element_at(F.array(*[F.lit(row[i]) for row in bg]), F.col("__b") + 1)
+        hybrid.append(F.when(at < F.col("__j"), F.col(f).cast("double")).otherwise(bval).alias(f))
+    h = predict_fn(d.select("__id", "__k", "__b", "__j", *hybrid)).select("__id", "__k", "__b", "__j", "__f")
+    w = Window.partitionBy("__id", "__k", "__b").orderBy("__j")
     credited = F.element_at(F.array(*[F.array(*[F.lit(feats[i]) for i in perm]) for perm in perms]),
-                            F.col("k") + 1)
-    steps = h.select("__id", "j", (F.col("__f") - F.lag("__f").over(w)).alias("__d"),
-                     F.element_at(credited, F.greatest(F.col("j"), F.lit(1))).alias("feature"))
-    phi = steps.where(F.col("j") > 0).groupBy("__id", "feature").agg(F.avg("__d").alias("phi"))
+                            F.col("__k") + 1)
+    steps = h.select("__id", "__j", (F.col("__f") - F.lag("__f").over(w)).alias("__d"),
+                     F.element_at(credited, F.greatest(F.col("__j"), F.lit(1))).alias("feature"))
+    phi = steps.where(F.col("__j") > 0).groupBy("__id", "feature").agg(F.avg("__d").alias("phi"))
     values = df.select(F.col(id_col).alias("__id"), F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])).alias("v")
     ).select("__id", "v.*")
