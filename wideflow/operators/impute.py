@@ -19,7 +19,7 @@ from typing import Callable, Iterable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,12 +143,58 @@ def gbt_estimator(n_trees: int = 100, step: float = 0.1, depth: int = 3) -> Esti
 
 
 def linear_estimator(reg: float = 0.0) -> EstimatorFactory:
+    """Least squares with intercept.  The imputer solves it from one
+    aggregation of cross-products per column step (``LinearRegression``
+    with the same settings gives the same fit, at several passes each)."""
     def make(features: str, label: str, seed: int):
         return LinearRegression(featuresCol=features, labelCol=label, predictionCol="__pred",
                                 regParam=reg, standardization=False)
+    make.closed_form = True
+    make.reg = reg
     return make
 
 
+class LinearFit:
+    """A least-squares column model kept as plain weights (an expression)."""
+
+    def __init__(self, feats, weights, intercept):
+        self.feats, self.weights, self.intercept = list(feats), list(weights), float(intercept)
+
+    def expr(self) -> Column:
+        e = F.lit(self.intercept)
+        for f, w in zip(self.feats, self.weights):
+            e = e + F.col(f) * F.lit(float(w))
+        return e
+
+
+def _least_squares(df: DataFrame, target: str, feats: Sequence[str], reg: float = 0.0) -> LinearFit:
+    """One pass: sums of x_i x_j, x_i y, x_i, y and the count; then a
+    (p+1) x (p+1) solve on the driver (bounded by the column count)."""
+    import numpy as np
+    names = list(feats)
+    p = len(names)
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(target).alias("sy")]
+    sums += [F.sum(f).alias(f"s{i}") for i, f in enumerate(names)]
+    sums += [F.sum(F.col(f) * F.col(target)).alias(f"sy{i}") for i, f in enumerate(names)]
+    sums += [F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(names)
+             for j, b in enumerate(names) if j >= i]
+    r = df.agg(*sums).first()
+    n = r["n"]
+    A = np.zeros((p + 1, p + 1))
+    v = np.zeros(p + 1)
+    A[0, 0] = n
+    v[0] = r["sy"] or 0.0
+    for i in range(p):
+        A[0, i + 1] = A[i + 1, 0] = r[f"s{i}"] or 0.0
+        v[i + 1] = r[f"sy{i}"] or 0.0
+        for j in range(i, p):
+            A[i + 1, j + 1] = A[j + 1, i + 1] = r[f"s{i}_{j}"] or 0.0
+    if reg:
+        A[1:, 1:] += reg * n * np.eye(p)
+    sol = np.linalg.lstsq(A, v, rcond=None)[0]
+    return LinearFit(names, sol[1:].tolist(), sol[0])
+
+
 class IterativeImputerModel:
     """Replays the fitted round-robin sequence on any table."""
 
@@ -168,6 +214,8 @@ class IterativeImputerModel:
 
 
 def _apply_model(work: DataFrame, c: str, mask: str, model, feats: Sequence[str]) -> DataFrame:
+    if isinstance(model, LinearFit):
+        return work.withColumn(c, F.when(F.col(mask), model.expr()).otherwise(F.col(c)))
     vec = VectorAssembler(inputCols=list(feats), outputCol="__x", handleInvalid="keep").transform(work)
     pred = model.transform(vec)
     return pred.withColumn(c, F.when(F.col(mask), F.col("__pred")).otherwise(F.col(c))).drop("__x", "__pred")
@@ -218,17 +266,22 @@ class IterativeImputer:
             models = []
             for c in order:
                 feats = [f for f in usable if f != c]
-                vec = VectorAssembler(inputCols=feats, outputCol="__x", handleInvalid="keep").transform(work)
-                est = self.estimator("__x", c, self.seed + it)
-                model = est.fit(vec.where(~F.col(masks[c])))
+                if getattr(self.estimator, "closed_form", False):
+                    model = _least_squares(work.where(~F.col(masks[c])), c, feats, self.estimator.reg)
+                else:
+                    vec = VectorAssembler(inputCols=feats, outputCol="__x", handleInvalid="keep").transform(work)
+                    est = self.estimator("__x", c, self.seed + it)
+                    model = est.fit(vec.where(~F.col(masks[c])))
                 models.append((c, model, feats))
                 work = _apply_model(work, c, masks[c], model, feats)
+            # Matrix inf-norm of the change (largest row-wise sum of |delta|),
+            # observed while the round is written: no extra pass.
+            change = sum(F.abs(F.col(c) - F.col(f"__old_{c}")) for c in order)
+            watch = Observation(f"imputer_round_{id(self)}_{it}")
+            work = work.observe(watch, F.max(change).alias("d")).drop(*[f"__old_{c}" for c in order])
             work = cut_lineage(work)
             rounds.append(models)
-            # Matrix inf-norm of the change: largest row-wise sum of |delta|.
-            change = sum(F.abs(F.col(c) - F.col(f"__old_{c}")) for c in order)
-            delta = work.agg(F.max(change).alias("d")).first()["d"]
-            work = work.drop(*[f"__old_{c}" for c in order])
+            delta = watch.get["d"]
             if delta is not None and delta < tol:
                 break
         model = IterativeImputerModel(cols, order, means, rounds, len(rounds))

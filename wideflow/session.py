@@ -62,9 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of an iterative computation: the table is written
+    once as Parquet into the shared checkpoint folder and read back, so a
+    lost executor costs at most the current step.  (``Dataset.checkpoint``
+    would compute an unpersisted plan twice: once to count, once to save.)"""
+    return materialize(df)
 
 
 def env_cores(default: int = 8) -> int:
