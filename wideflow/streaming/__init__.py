@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream, watermark, window-over-time or stateful
+operator, so nothing is built here (see README, "Re-aimed or skipped").
+"""
