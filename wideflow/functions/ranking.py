@@ -48,18 +48,21 @@ def quantile_buckets(x: Column, splits: Sequence[float]) -> Column:
 
 
 def ranked_within(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[Column],
-                  bucket: Column, out: str = "rank") -> DataFrame:
+                  bucket: Column, out: str = "rank", broadcast_offsets: bool = False) -> DataFrame:
     """Exact ``row_number() OVER (PARTITION BY partition_cols ORDER BY order_cols)``.
 
     ``bucket`` must be non-decreasing in ``order_cols`` (ascending order).
-    Partition columns must be non-NULL.
+    Partition columns must be non-NULL.  Set ``broadcast_offsets`` when the
+    offset table (partition values x buckets) has a known small bound; the
+    rows are then never shuffled for the offset lookup (a skewed partition
+    value cannot funnel into one join task).
     """
     p = list(partition_cols)
     d = df.withColumn(_B, bucket)
     counts = d.groupBy(*p, _B).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*p).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*p, _B, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    d = d.join(offsets, on=[*p, _B], how="inner")
+    d = d.join(F.broadcast(offsets) if broadcast_offsets else offsets, on=[*p, _B], how="inner")
     wl = Window.partitionBy(*p, _B).orderBy(*order_cols)
     return d.withColumn(out, F.row_number().over(wl) + F.col("__off")).drop(_B, "__off")
 

@@ -79,7 +79,7 @@ def display_names(features: DataFrame, names: DataFrame, col: str = "feature") -
     without an entry keeps its own name.
     """
     lk = names.select(F.col(col).alias("__k"), F.col("label").alias("__label"))
-    j = features.join(lk, features[col] == lk["__k"], "left")
+    j = features.join(F.broadcast(lk), features[col] == lk["__k"], "left")  # a label per code
     return j.select(*[features[c] for c in features.columns],
                     F.coalesce(F.col("__label"), features[col]).alias("display_name"))
 

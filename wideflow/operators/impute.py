@@ -45,7 +45,7 @@ def value_counts(df: DataFrame, cols: Sequence[str], id_col: str | None = None)
 def modes(counts: DataFrame, tie: str = "smallest") -> DataFrame:
     """(column, mode): top count; ties -> smallest value, or lowest first id."""
     top = counts.groupBy("column").agg(F.max("n").alias("__top"))
-    cand = counts.join(top, on="column").where(F.col("n") == F.col("__top"))
+    cand = counts.join(F.broadcast(top), on="column").where(F.col("n") == F.col("__top"))
     if tie == "first":
         return cand.groupBy("column").agg(F.min_by("value", "first_id").alias("mode"))
     return cand.groupBy("column").agg(F.min("value").alias("mode"))
@@ -55,7 +55,7 @@ def medians(counts: DataFrame) -> DataFrame:
     """(column, median): exact, mean of the two middle values for even n."""
     s = ordered_scan(counts, ["column"], "value", ["n"], descending=False)
     tot = counts.groupBy("column").agg(F.sum("n").alias("__tot"))
-    s = s.join(tot, on="column")
+    s = s.join(F.broadcast(tot), on="column")  # one row per column
     lo_k = F.floor((F.col("__tot") + 1) / 2)
     hi_k = F.ceil((F.col("__tot") + 1) / 2)
     hit_lo = (F.col("prev_n") < lo_k) & (F.col("cum_n") >= lo_k)

@@ -72,7 +72,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "class_weight") -> Da
     everything = Window.partitionBy()  # the class table: one row per class
     w = counts.select(label, (F.sum("__nc").over(everything)
                               / (F.count(F.lit(1)).over(everything) * F.col("__nc"))).alias(out))
-    return df.join(w, on=label, how="left")
+    return df.join(F.broadcast(w), on=label, how="left")  # one row per class
 
 
 def positive_score(pred: DataFrame, out: str = P1) -> DataFrame:

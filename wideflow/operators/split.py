@@ -32,11 +32,15 @@ KEY = "__key"
 
 def seeded_rank(df: DataFrame, id_col: str, label: str, seed: int | Column,
                 partition_cols: Sequence[str] = (), out: str = "class_rank",
-                bucket_digits: int = 3) -> DataFrame:
-    """1-based rank of each row inside its class in the seeded md5 order."""
+                bucket_digits: int = 3, broadcast_offsets: bool = False) -> DataFrame:
+    """1-based rank of each row inside its class in the seeded md5 order.
+
+    ``broadcast_offsets`` when the offset table (groups x 16**digits rows)
+    is known to be small, e.g. one group per class."""
     d = df.withColumn(KEY, md5_order_key(seed, id_col))
     parts = [*partition_cols, label]
-    r = ranked_within(d, parts, [F.col(KEY), F.col(id_col)], hex_bucket(KEY, bucket_digits), out)
+    r = ranked_within(d, parts, [F.col(KEY), F.col(id_col)], hex_bucket(KEY, bucket_digits), out,
+                      broadcast_offsets=broadcast_offsets)
     return r.drop(KEY)
 
 
@@ -128,7 +132,9 @@ def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 5, seed: i
     counts = d.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(label, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    r = seeded_rank(d, id_col, label, seed, out="__rank").join(offsets, on=label, how="inner")
+    # One row per class: broadcast, never a two-key shuffle join.
+    r = seeded_rank(d, id_col, label, seed, out="__rank", broadcast_offsets=True)
+    r = r.join(F.broadcast(offsets), on=label, how="inner")
     return (r.withColumn(out, ((F.col("__off") + F.col("__rank") - 1) % k).cast("int"))
              .drop("__rank", "__off"))
 
