@@ -196,3 +196,14 @@ def q_score_rows(spark, sf):
 def q_best_model(spark, sf):
     """SCO-2: the model with the highest test AUC."""
     return md.best_model(_score_table(spark, sf))
+
+
+@_q("scored_run")
+def q_scored_run(spark, sf):
+    """One of the 25 scored runs: manual feature set x logistic regression
+    (2 search trials), scored by 5-fold CV on train and inside test."""
+    from wideflow.plans.runs import scored_run
+    d = prepared(spark, sf)
+    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    return scored_run(train, test, FEATS, LABEL, "id", "manual", "lr", manual=["n_lines", "sbp", "dbp", "bmi"],
+                      n_iter=2, seed=11)
