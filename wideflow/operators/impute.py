@@ -19,7 +19,7 @@ from typing import Callable, Iterable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -274,14 +274,13 @@ class IterativeImputer:
                     model = est.fit(vec.where(~F.col(masks[c])))
                 models.append((c, model, feats))
                 work = _apply_model(work, c, masks[c], model, feats)
-            # Matrix inf-norm of the change (largest row-wise sum of |delta|),
-            # observed while the round is written: no extra pass.
-            change = sum(F.abs(F.col(c) - F.col(f"__old_{c}")) for c in order)
-            watch = Observation(f"imputer_round_{id(self)}_{it}")
-            work = work.observe(watch, F.max(change).alias("d")).drop(*[f"__old_{c}" for c in order])
             work = cut_lineage(work)
             rounds.append(models)
-            delta = watch.get["d"]
+            # Matrix inf-norm of the change: largest row-wise sum of |delta|,
+            # one aggregation over the stored round.
+            change = sum(F.abs(F.col(c) - F.col(f"__old_{c}")) for c in order)
+            delta = work.agg(F.max(change).alias("d")).first()["d"]
+            work = work.drop(*[f"__old_{c}" for c in order])
             if delta is not None and delta < tol:
                 break
         model = IterativeImputerModel(cols, order, means, rounds, len(rounds))
