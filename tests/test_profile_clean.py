@@ -78,3 +78,8 @@ def test_align_and_ragged(spark):
     lists = spark.createDataFrame([("m", 1, "a"), ("m", 2, "b"), ("r", 1, "c")], "method string, pos int, feature string")
     rag = {r["pos"]: (r["m"], r["r"]) for r in cl.ragged_align(lists, methods=["m", "r"]).collect()}
     assert rag == {1: ("a", "c"), 2: ("b", None)}
+
+
+def test_approx_profile_close(table):
+    p = {r["column"]: r["n_unique"] for r in pr.profile(table, exact=False).collect()}
+    assert p["x"] == 10 and p["twenty"] == 3 and p["allnull"] == 0

@@ -48,12 +48,14 @@ def md5_order_key(seed: int | Column, id_col: str | Column) -> Column:
 
 
 def hex_bucket(key: str | Column, digits: int = 3) -> Column:
-    """Leading ``digits`` hex characters of a digest as an int bucket.
+    """Leading ``digits`` hex characters of a digest (16**digits buckets).
 
-    Monotone in the digest's text order, so buckets are contiguous ranges of
-    the order and can carry per-bucket offsets (two-level ranking).
+    A fixed-length prefix of the lowercase hex text is monotone in the
+    digest's text order, so buckets are contiguous ranges of the order and
+    can carry per-bucket offsets (two-level ranking).  Kept as text: no
+    base conversion per row.
     """
-    return F.conv(F.substring(col_of(key), 1, digits), 16, 10).cast("int")
+    return F.substring(col_of(key), 1, digits)
 
 
 def nan_to_null(c: str | Column) -> Column:

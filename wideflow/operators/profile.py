@@ -46,10 +46,20 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return per_value.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
 
 
-def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def approx_distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, rsd: float = 0.01) -> DataFrame:
+    """AGG-3 option for very wide, high-cardinality tables: HyperLogLog++
+    sketches in the same single aggregation (no de-duplication shuffle)."""
+    cols = _cols(df, cols)
+    row = df.agg(*[F.approx_count_distinct(c, rsd).alias(f"__u{i}") for i, c in enumerate(cols)])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__u{i}").alias("n_unique"))
+                                for i, c in enumerate(cols)])).alias("p")
+    return row.select(pairs).select("p.column", "p.n_unique")
+
+
+def profile(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """AGG-1 + AGG-3: (column, n_rows, n_missing, missing_pct, n_unique)."""
     m = missing_counts(df, cols)
-    u = distinct_counts(df, cols)
+    u = distinct_counts(df, cols) if exact else approx_distinct_counts(df, cols)
     return (m.join(u, on="column", how="left")
              .withColumn("n_unique", F.coalesce(F.col("n_unique"), F.lit(0)).cast("bigint")))
 

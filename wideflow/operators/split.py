@@ -99,7 +99,9 @@ def _beyond_cuts(d: DataFrame, parts: Sequence[str], id_col: str, cuts: DataFram
         lo, hi = F.col("__o"), F.col("__o") + F.col("__n")
         straddle = straddle | ((lo < F.col(c)) & (hi > F.col(c)))
         sel += [c, (lo >= F.col(c)).alias(f"__all_out_{c}")]
-    status = status.select(*sel, straddle.alias("__straddle"))
+    # Stored once: both branches below read it (otherwise each would
+    # recount the buckets over all rows).
+    status = materialize(status.select(*sel, straddle.alias("__straddle")))
     if n_groups * 16 ** digits <= MAX_BROADCAST_STATUS_ROWS:
         status = F.broadcast(status)
     j = d.join(status, on=[*p, b], how="inner")
