@@ -173,6 +173,17 @@ def _least_squares(df: DataFrame, target: str, feats: Sequence[str], reg: float
     import numpy as np
     names = list(feats)
     p = len(names)
+    if p > 24:
+        # Wide: cross-products through the exploded Gram pass (small plan).
+        from wideflow.operators.selection import gram_stats, _stats_arrays, Y, ONE
+        S = _stats_arrays(gram_stats(df.withColumn("__g", F.lit(0)), names, target, "__g").collect(), names)[0]
+        order = [p + 1] + list(range(p))          # [1, x...] against [y]
+        A = S[np.ix_(order, order)]
+        v = S[order, p]
+        if reg:
+            A[1:, 1:] += reg * S[p + 1, p + 1] * np.eye(p)
+        sol = np.linalg.lstsq(A, v, rcond=None)[0]
+        return LinearFit(names, sol[1:].tolist(), sol[0])
     sums = [F.count(F.lit(1)).alias("n"), F.sum(target).alias("sy")]
     sums += [F.sum(f).alias(f"s{i}") for i, f in enumerate(names)]
     sums += [F.sum(F.col(f) * F.col(target)).alias(f"sy{i}") for i, f in enumerate(names)]
