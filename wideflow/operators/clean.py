@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from typing import Iterable, Mapping, Sequence
+from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wideflow.functions.expr import NUMERIC_TYPES, numeric_fields, require_columns
+from wideflow.functions.expr import numeric_fields, require_columns
 
 
 # ------------------------------------------------------------------ filters

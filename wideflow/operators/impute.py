@@ -175,7 +175,7 @@ def _least_squares(df: DataFrame, target: str, feats: Sequence[str], reg: float
     p = len(names)
     if p > 24:
         # Wide: cross-products through the exploded Gram pass (small plan).
-        from wideflow.operators.selection import gram_stats, _stats_arrays, Y, ONE
+        from wideflow.operators.selection import gram_stats, _stats_arrays
         S = _stats_arrays(gram_stats(df.withColumn("__g", F.lit(0)), names, target, "__g").collect(), names)[0]
         order = [p + 1] + list(range(p))          # [1, x...] against [y]
         A = S[np.ix_(order, order)]

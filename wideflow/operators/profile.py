@@ -16,7 +16,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wideflow.functions.expr import ratio
 
 
 def _cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:

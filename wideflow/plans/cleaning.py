@@ -11,7 +11,6 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wideflow.operators import clean as cl
 from wideflow.operators import flags as fl

@@ -10,7 +10,7 @@ from wideflow.operators import impute as im
 from wideflow.operators import models as md
 from wideflow.operators import split as sp
 from wideflow.operators.scale import MinMaxModel
-from wideflow.plans.common import auc_sql, finish, finish_sql, md5_sql, obs, with_obs
+from wideflow.plans.common import auc_sql, md5_sql, obs, with_obs
 from wideflow.session import materialize
 
 Q: dict = {}
