@@ -125,3 +125,9 @@ def test_io_round_trip_and_variants(spark):
     assert io.read_variants(spark, base + "/v").count() == 2
     io.write_table(d, base + "/c", fmt="csv")
     assert io.read_table(spark, base + "/c", fmt="csv").count() == 2
+
+
+def test_rfe_svm_form(signal):
+    out = se.rfe_cv(signal, ["a", "b", "c"], "y", "fold", max_iter=5).collect()
+    assert sorted(r["n_features"] for r in out) == [1, 2, 3]
+    assert sum(1 for r in out if r["selected"]) == 1
