@@ -56,11 +56,30 @@ def approx_distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, rsd
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """AGG-1 + AGG-3: (column, n_rows, n_missing, missing_pct, n_unique)."""
-    m = missing_counts(df, cols)
-    u = distinct_counts(df, cols) if exact else approx_distinct_counts(df, cols)
-    return (m.join(u, on="column", how="left")
-             .withColumn("n_unique", F.coalesce(F.col("n_unique"), F.lit(0)).cast("bigint")))
+    """AGG-1 + AGG-3: (column, n_rows, n_missing, missing_pct, n_unique).
+
+    Exact form in **one scan**: every cell becomes (column, value-as-text,
+    NULL kept), counted per distinct (column, value) with map-side combine;
+    per column, the counts add up to the row count, the NULL bucket is the
+    missing count and the non-NULL buckets are the distinct values.
+    """
+    if not exact:
+        m = missing_counts(df, cols)
+        u = approx_distinct_counts(df, cols)
+        return (m.join(u, on="column", how="left")
+                 .withColumn("n_unique", F.coalesce(F.col("n_unique"), F.lit(0)).cast("bigint")))
+    cols = _cols(df, cols)
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+        .alias("p")).select("p.column", "p.value")
+    per_value = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    out = per_value.groupBy("column").agg(
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.count("value").alias("n_unique"))
+    return out.select("column", "n_rows", "n_missing",
+                      (F.col("n_missing") * 100.0 / F.col("n_rows")).alias("missing_pct"),
+                      F.col("n_unique").cast("bigint").alias("n_unique"))
 
 
 def row_missing_pct(df: DataFrame, id_col: str, cols: Sequence[str] | None = None) -> DataFrame:
