@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+#: Paths of stored intermediate tables, with the session that wrote them.
+_kept: dict[str, weakref.ref] = {}
+
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None,
                   app: str = "wideflow") -> SparkSession:
@@ -94,4 +99,35 @@ def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     if spread:
         df = df.repartition(spark.sparkContext.defaultParallelism)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.wideflow_path = path
+    _kept[path] = weakref.ref(spark)
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the stored copies behind frames that :func:`materialize` returned
+    and that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "wideflow_path", None)
+        if path in _kept:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _kept.pop(path, None)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def release_all() -> None:
+    """Delete every stored copy that is left when the application ends."""
+    for path, ref in list(_kept.items()):
+        spark = ref()
+        if spark is None or spark.sparkContext._jsc is None:
+            continue
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
