@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +46,23 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*out)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, unless it is installed
+    for them (on PYTHONPATH) already."""
+    import wideflow
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(wideflow.__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_wideflow_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="wideflow-py-"), "wideflow"),
+                                  "zip", root, "wideflow")
+    sc.addPyFile(archive)
+    sc._wideflow_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    ship(spark)
     return pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), *names)
 
 
@@ -65,6 +84,23 @@ def n_words(text: Column) -> Column:
         F.regexp_count(text, F.lit(WORD))).cast("long")
 
 
+def digest(doc_id: Column, text: Column) -> Column:
+    """Text by which a row is keyed: its id, and the md5 of its text."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")),
+                       F.coalesce(F.md5(text), F.lit("null")))
+
+
+def with_key(df: DataFrame, name: str, key) -> DataFrame:
+    """``df`` as it is, with one more column ``name`` = key(doc_id, text), even
+    where its other names repeat or differ only in case: the frame's own
+    columns are renamed to _c0, _c1, ... by position."""
+    flat = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    at = {n: position(df, n) for n in ("doc_id", "text")}
+    cols = [F.lit(None).cast(k) if at[n] is None else F.col(f"_c{at[n]}").cast(k)
+            for n, k in (("doc_id", "long"), ("text", "string"))]
+    return flat.withColumn(name, key(*cols))
+
+
 # --- numpy helpers used inside Arrow tasks -----------------------------------
 
 _P = 0x9E3779B97F4A7C15 | 1            # odd, so it has an inverse modulo 2**64

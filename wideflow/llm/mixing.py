@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, pick
+from .common import digest, n_words, pick
 from .prefix import ranged, running, totals
 
 #: Weights of the sources in code-point order, repeating.
@@ -83,12 +83,6 @@ def mix(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
             .select(*kept, "source_size", "target", "times", "taken"))
 
 
-def digest(doc_id, text):
-    """Text by which a document is keyed: its id, and the md5 of its text."""
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")),
-                       F.coalesce(F.md5(text), F.lit("null")))
-
-
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, source, digest, size, source_size, target,
     times, taken."""

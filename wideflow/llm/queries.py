@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, shard, tokens
+from . import mixing, shard, simhash, tokens
 from .common import documents
 
 
@@ -19,6 +19,12 @@ def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents: 4-word shingles, up to 4 bits apart."""
+    return simhash.simhash_components(documents(spark, sf_dir, "doc_id", "text"), 4, 4).select(
+        "doc_id", "fingerprint", "component_id")
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to ids and decoded again."""
     return tokens.encode_documents(documents(spark, sf_dir, "doc_id", "text"), ids=False)
@@ -70,6 +76,7 @@ SELECT doc_id, source, size, source_size, target, times, CAST(size * times AS BI
 def queries() -> dict:
     return {
         "op3_byte_shards": op3_byte_shards,
+        "op4_simhash_components": op4_simhash_components,
         "op5_piece_codec": op5_piece_codec,
         "op6_token_counts": op6_token_counts,
         "op9_mix_sources": op9_mix_sources,
