@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, shard, simhash, tokens
-from .common import documents
+from . import mixing, rules, shard, simhash, tokens, topk
+from .common import documents, table
 
 
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +35,37 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(documents(spark, sf_dir, "source", "text"))
 
 
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors, by Hamming distance of their sign codes, of every
+    vector whose id is divisible by 20, among all vectors."""
+    v = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding")).alias("code"))
+    q = v.where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id")
+    return topk.top_k(v, q, 10)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules on all documents, cutoffs certified on all labelled ones."""
+    return rules.apply_rules(documents(spark, sf_dir, "doc_id", "text", "lang"),
+                             table(spark, sf_dir, "labels"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1."""
     return mixing.mix_documents(documents(spark, sf_dir, "doc_id", "text", "source")).select(
         "doc_id", "source", "size", "source_size", "target", "times", "taken")
 
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
+p AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS id,
+         CAST(list_sum(list_transform(list_zip(q.bits, v.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM v q, v WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, id, distance FROM r WHERE rank <= 10"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -79,9 +104,11 @@ def queries() -> dict:
         "op4_simhash_components": op4_simhash_components,
         "op5_piece_codec": op5_piece_codec,
         "op6_token_counts": op6_token_counts,
+        "op7_hamming_topk": op7_hamming_topk,
+        "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": OP9_SQL}
+    return {"op7_hamming_topk": OP7_SQL, "op9_mix_sources": OP9_SQL}
