@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, rules, shard, simhash, tokens, topk
+from . import licenses, mixing, rules, shard, simhash, tokens, topk
 from .common import documents, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of a license notice in all documents."""
+    return licenses.scan_licenses(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near-equal bytes (law 'bytes')."""
     d = documents(spark, sf_dir, "doc_id", "text").select(
@@ -100,6 +105,7 @@ SELECT doc_id, source, size, source_size, target, times, CAST(size * times AS BI
 
 def queries() -> dict:
     return {
+        "op1_license_scan": op1_license_scan,
         "op3_byte_shards": op3_byte_shards,
         "op4_simhash_components": op4_simhash_components,
         "op5_piece_codec": op5_piece_codec,
