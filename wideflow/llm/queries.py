@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, rules, shard, simhash, tokens, topk
+from . import licenses, mixing, quality, rules, shard, simhash, tokens, topk
 from .common import documents, table
 
 
@@ -14,6 +14,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of all documents; model of all trusted ones."""
+    return quality.classify(documents(spark, sf_dir, "doc_id", "text", "lang"),
+                            table(spark, sf_dir, "labels")).drop("key")
+
+
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near-equal bytes (law 'bytes')."""
     d = documents(spark, sf_dir, "doc_id", "text").select(
@@ -106,6 +112,7 @@ SELECT doc_id, source, size, source_size, target, times, CAST(size * times AS BI
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_kneser_ney": op2_kneser_ney,
         "op3_byte_shards": op3_byte_shards,
         "op4_simhash_components": op4_simhash_components,
         "op5_piece_codec": op5_piece_codec,
