@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, rules, shard, simhash, tokens, topk
+from . import licenses, mixing, quality, rules, shard, simhash, substrings, tokens, topk
 from .common import documents, table
 
 
@@ -67,6 +67,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "size", "source_size", "target", "times", "taken")
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of a document that repeats text of another document."""
+    return substrings.repeated_passages(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id", "kept_doc_id", "kind", "start_word", "n_words")
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
@@ -120,6 +126,7 @@ def queries() -> dict:
         "op7_hamming_topk": op7_hamming_topk,
         "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
+        "op10_repeated_passages": op10_repeated_passages,
     }
 
 
