@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest, n_words, pick
+from .common import digest, n_words, pick, position, stored, with_key
 from .prefix import ranged, running, totals
 
 #: Weights of the sources in code-point order, repeating.
@@ -89,3 +89,24 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     d = pick(docs, "doc_id", "source", "text")
     return mix(d.select("doc_id", "source", digest(F.col("doc_id"), F.col("text")).alias("digest"),
                         n_words(F.col("text")).alias("size")), **options)
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them (0 to 3 times), all
+    columns as they are.  Rows equal in id, text and source are taken together."""
+    rows = pick(docs, "doc_id", "text", "source")
+    rows = rows.select(_row_key(F.col("doc_id"), F.col("text"), F.col("source")).alias("digest"), "source",
+                       n_words(F.col("text")).alias("size"))
+    units = rows.groupBy("digest", "source").agg(F.sum("size").alias("size"))
+    times = stored(mix(units, **options).where(F.col("times") > 0)
+                   .select(F.col("digest").alias("_key"), "times"))
+    source = position(docs, "source")
+    flat = with_key(docs, "_key", lambda i, t: _row_key(
+        i, t, F.lit(None).cast("string") if source is None else F.col(f"_c{source}").cast("string")))
+    columns = [c for c in flat.columns if c != "_key"]
+    return (flat.join(times, "_key").select(*columns, F.explode(F.sequence(F.lit(1), "times")).alias("_copy"))
+            .select(*columns).toDF(*docs.columns))
+
+
+def _row_key(doc_id, text, source):
+    return F.md5(F.concat_ws(":", digest(doc_id, text), F.coalesce(F.concat(F.lit("a"), source), F.lit("b"))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import licenses, mixing, quality, rules, shard, simhash, substrings, tokens, topk
 from .common import documents, table
 
@@ -127,6 +129,7 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
         "op10_repeated_passages": op10_repeated_passages,
+        "pipeline": corpus_pipeline.run,
     }
 
 

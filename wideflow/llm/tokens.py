@@ -8,8 +8,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pick, slices
+from .common import pick, position, slices
 
 
 def model_path(model_file: str | None = None) -> str:
@@ -64,6 +65,36 @@ def encode_documents(docs: DataFrame, model_file: str | None = None,
     return pick(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
+def with_ids(docs: DataFrame, model_file: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with two more columns: n_tokens, and ids, from which
+    the decoder must give back the text that the model's normaliser keeps (a
+    mismatch raises).  Columns of these names in ``docs`` are replaced."""
+    path = model_path(model_file)
+    keep = [c for c in docs.columns if c.lower() not in ("n_tokens", "ids")]
+    at = [i for i, c in enumerate(docs.columns) if c in keep]
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]).select(*[f"_c{i}" for i in at])
+    text = f"_c{position(docs, 'text')}"
+    fields = [T.StructField(f.name, f.dataType) for f in flat.schema]
+    fields += [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+
+    def run(batches):
+        from .piece_bpe import MARK, load
+
+        bpe = load(path)
+        for batch in batches:
+            for part in slices(batch, 256):
+                ids = []
+                for x in part.column(text).to_pylist():
+                    ids.append(bpe.encode(x or ""))
+                    if bpe.decode(ids[-1]) != (x or "").replace(MARK, " "):
+                        raise ValueError("decoding the ids does not give the text")
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([len(x) for x in ids], pa.int64()),
+                     pa.array(ids, pa.list_(pa.int32()))], names=[f.name for f in fields])
+
+    return flat.mapInArrow(run, T.StructType(fields)).toDF(*keep, "n_tokens", "ids")
+
+
 def decode_ids(rows: DataFrame, model_file: str | None = None) -> DataFrame:
     """``text`` decoded from the column ``ids`` (array<int>) beside ``doc_id``;
     NULL ids give an empty text."""
