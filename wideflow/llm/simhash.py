@@ -129,7 +129,7 @@ def cells(nodes: DataFrame, design) -> DataFrame:
     """A row (g, cell) for each fingerprint and group, beside the other columns."""
     e = embedding(F.col("fp"))
     return nodes.select("*", F.posexplode(F.array(*[
-        F.shiftrightunsigned(e, 2 * at).bitwiseAND(F.lit((1 << (2 * k)) - 1))
+        F.shiftrightunsigned(e, 2 * at).bitwiseAND(F.lit((1 << (2 * k)) - 1 if k < SEGMENTS else -1))
         for at, k, _ in design])).alias("g", "cell"))
 
 

@@ -52,6 +52,9 @@ def search_codes(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     codes with ``n`` rows each, ``queries`` distinct codes ``q``."""
     size = index.agg(F.count(F.lit(1)), F.sum("n")).first()
     enough = min(k, size[1] or 0)
+    if not enough:
+        return queries.join(index.select("code"), F.lit(False)).select(
+            "q", "code", F.lit(0).alias("distance"))
     cut = segments(size[0])
     m, widest = len(cut), max(w for _, w in cut)
     at = stored(index.select("code", "n", F.posexplode(_parts(F.col("code"), cut)).alias("seg", "val")))
