@@ -72,3 +72,16 @@ def test_minmax_constant_column_and_test_rows(spark):
     assert tr == {1: (0.0, 0.0), 2: (1.0, 0.0)}
     te = m.transform(test).first()
     assert te["x"] == pytest.approx(2.0) and te["k"] == pytest.approx(2.0)
+
+
+def test_fills_of_text_and_large_integers(spark):
+    big = 9007199254740993
+    rows = [(1, big, "a", 0.0), (2, big, "b", -0.0), (3, big - 1, "b", 1.0), (4, None, None, None)]
+    d = spark.createDataFrame(rows, "id long, n long, t string, x double")
+    for strategy in ("mode", "median", "mean"):
+        out = {r["id"]: r for r in im.fill(d, ["n", "t", "x"], strategy).collect()}
+        assert [out[i]["t"] for i in (1, 2, 3, 4)] == ["a", "b", "b", None]
+    modes = {r["id"]: r for r in im.fill(d, ["n", "t", "x"], "mode").collect()}
+    assert modes[4]["n"] == big and modes[3]["n"] == big - 1
+    assert modes[4]["x"] == 0.0
+    assert im.fill_variants(d, ["n", "t", "x"]).count() == 16

@@ -83,3 +83,25 @@ def test_align_and_ragged(spark):
 def test_approx_profile_close(table):
     p = {r["column"]: r["n_unique"] for r in pr.profile(table, exact=False).collect()}
     assert p["x"] == 10 and p["twenty"] == 3 and p["allnull"] == 0
+
+
+def test_zero_signs_are_one_value(spark):
+    from wideflow.operators import profile as pr
+    d = spark.createDataFrame([(0.0,), (-0.0,), (1.0,), (None,)], "x double")
+    assert pr.distinct_counts(d).first()["n_unique"] == 2
+    assert pr.profile(d).first()["n_unique"] == 2
+
+
+def test_range_buckets_follow_the_data(spark):
+    from wideflow.functions.ranking import _B, ordered_scan, range_buckets
+    spark.conf.set("spark.sql.shuffle.partitions", "128")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        d = spark.range(100_000).selectExpr("CAST(id + 1700000000 AS DOUBLE) AS v", "1L AS n")
+        assert range_buckets(d, ["v"]).select(_B).distinct().count() >= 100
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    s = ordered_scan(d.withColumn("g", d.v * 0), ["g"], "v", ["n"], descending=False)
+    assert s.where("cum_n <> v - 1699999999 OR prev_n <> cum_n - 1").count() == 0

@@ -5,5 +5,5 @@ from wideflow.functions.expr import (  # noqa: F401
     require_columns, THRESHOLD_INDEX_MAX,
 )
 from wideflow.functions.ranking import (  # noqa: F401
-    ranked_within, ordered_scan, quantile_buckets,
+    ranked_within, ordered_scan, range_buckets,
 )

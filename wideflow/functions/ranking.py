@@ -4,72 +4,64 @@ A window with no PARTITION BY (or partitioned only by a two-valued label)
 runs in one task.  Every ordered computation in this library goes through
 the helpers below instead:
 
-1. tag each row with a *bucket* that is monotone in the order (the leading
-   hex digits of an md5 key, or a binade/mantissa bucket of a double);
-2. aggregate per (group, bucket): a table whose size is bounded by
-   groups x buckets, never by rows;
-3. prefix-sum that small table over the bucket order to get offsets;
+1. tag each row with a *bucket* that is monotone in the order: a leading
+   part of an md5 key, or the number of the row's partition after a range
+   partitioning by (group, order), stored with the rows;
+2. aggregate per (group, bucket): a small table;
+3. prefix-sum that table over the bucket order to get offsets;
 4. join the offsets back and finish with a window partitioned by
    (group, bucket), i.e. many small independent tasks.
 
-The result is exact for any bucket function that is non-decreasing in the
-order; the bucket function only decides how well the work spreads.
+Range partitions follow the data (Spark samples the order column), so values
+that lie close together at a large offset spread as well as any others.  The
+result is exact for any bucket that is non-decreasing in the order.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_B = "__bucket"
+from wideflow.session import materialize
 
+_B = "__bucket"
 
-def float_bucket(x: Column, mantissa_bits: int = 10) -> Column:
-    """Monotone bucket of a double: binade plus leading mantissa bits.
 
-    Needs no statistics pass (no extra job) and is non-decreasing in ``x``
-    even where ``log2`` rounds across a power of two.
-    """
-    m = float(2 ** mantissa_bits)
-    ax = F.abs(x)
-    e = F.floor(F.log2(ax))
-    mag = (e + F.lit(1075)) * F.lit(m) + F.floor(ax / F.pow(F.lit(2.0), e) * F.lit(m) - F.lit(m)) + F.lit(1)
-    return (F.when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0))).cast("long")
+def range_buckets(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` range-partitioned by ``order`` and stored, with the partition's
+    number as its bucket."""
+    return materialize(df.repartitionByRange(*order).withColumn(_B, F.spark_partition_id()))
 
 
-def quantile_buckets(x: Column, splits: Sequence[float]) -> Column:
-    """Bucket by explicit split points (e.g. from ``approxQuantile``)."""
-    out = F.lit(0)
-    for s in sorted(set(splits)):
-        out = out + (x >= F.lit(float(s))).cast("int")
-    return out
+def digits_for(rows: int, per_bucket: int = 50_000) -> int:
+    """Hex digits of an md5 key after which a bucket holds about
+    ``per_bucket`` of ``rows`` rows or fewer (3 at least)."""
+    return max(3, ceil(log(max(rows / per_bucket, 1), 16)))
 
 
 def ranked_within(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[Column],
-                  bucket: Column, out: str = "rank", broadcast_offsets: bool = False) -> DataFrame:
+                  bucket: Column | None = None, out: str = "rank") -> DataFrame:
     """Exact ``row_number() OVER (PARTITION BY partition_cols ORDER BY order_cols)``.
 
-    ``bucket`` must be non-decreasing in ``order_cols`` (ascending order).
-    Partition columns must be non-NULL.  Set ``broadcast_offsets`` when the
-    offset table (partition values x buckets) has a known small bound; the
-    rows are then never shuffled for the offset lookup (a skewed partition
-    value cannot funnel into one join task).
+    ``bucket`` must be non-decreasing in ``order_cols`` (ascending order);
+    without one the rows are range-partitioned.  Partition columns must be
+    non-NULL.
     """
     p = list(partition_cols)
-    d = df.withColumn(_B, bucket)
+    d = range_buckets(df, [*p, *order_cols]) if bucket is None else df.withColumn(_B, bucket)
     counts = d.groupBy(*p, _B).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*p).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*p, _B, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    d = d.join(F.broadcast(offsets) if broadcast_offsets else offsets, on=[*p, _B], how="inner")
+    d = d.join(offsets, on=[*p, _B], how="inner")
     wl = Window.partitionBy(*p, _B).orderBy(*order_cols)
     return d.withColumn(out, F.row_number().over(wl) + F.col("__off")).drop(_B, "__off")
 
 
 def ordered_scan(df: DataFrame, group_cols: Sequence[str], order_col: str,
-                 sum_cols: Sequence[str], descending: bool = True,
-                 bucket: Column | None = None) -> DataFrame:
+                 sum_cols: Sequence[str], descending: bool = True) -> DataFrame:
     """Running sums over rows that are unique per (group, order_col).
 
     Adds, for every ``c`` in ``sum_cols``: ``cum_c`` (inclusive prefix in scan
@@ -78,9 +70,7 @@ def ordered_scan(df: DataFrame, group_cols: Sequence[str], order_col: str,
     """
     g = list(group_cols)
     o = F.col(order_col)
-    if bucket is None:
-        bucket = float_bucket(o.cast("double"))
-    d = df.withColumn(_B, bucket)
+    d = range_buckets(df, [*g, order_col])
     first_of = F.max_by if descending else F.min_by
     tot = d.groupBy(*g, _B).agg(
         *[F.sum(c).alias(f"__t_{c}") for c in sum_cols],

@@ -150,9 +150,8 @@ def roc_points(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     d2 = lambda c: F.col(f"next_{c}") - F.lit(2) * F.col(f"cum_{c}") + F.col(f"prev_{c}")
     first = (F.col("prev_pos") + F.col("prev_neg")) == 0
     keep = first | F.col("next_pos").isNull() | (d2("pos") != 0) | (d2("neg") != 0)
-    # ``tot`` has one row per evaluation group (each is one curve): broadcast,
-    # so an ungrouped curve never funnels through one join task.
-    pts = s.where(keep).join(F.broadcast(tot), on=g, how="inner")
+    # ``tot`` has one row per curve; Spark broadcasts it while it is small.
+    pts = s.where(keep).join(tot, on=g, how="inner")
     pts = pts.select(*g, F.col("score").alias("threshold"),
                      ratio("cum_neg", "__n").alias("fpr"), ratio("cum_pos", "__p").alias("tpr"))
     anchor = tot.select(*g, F.lit(None).cast("double").alias("threshold"),
@@ -166,7 +165,7 @@ def pr_points(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     counts, g = _keyed(score_counts(df, label, score, _by(by)), _by(by))
     s = _scan(counts, g)
     tot = s.groupBy(*g).agg(F.sum("pos").alias("__p"))
-    pts = s.join(F.broadcast(tot), on=g, how="inner")
+    pts = s.join(tot, on=g, how="inner")
     pts = pts.select(*g, F.col("score").alias("threshold"),
                      ratio("cum_pos", F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
                      ratio("cum_pos", "__p").alias("recall"))
@@ -194,7 +193,7 @@ def score_histogram(df: DataFrame, label: str, score: str, bins: int = 25) -> Da
     lo = F.when(F.col("__mn") == F.col("__mx"), F.col("__mn") - 0.5).otherwise(F.col("__mn"))
     hi = F.when(F.col("__mn") == F.col("__mx"), F.col("__mx") + 0.5).otherwise(F.col("__mx"))
     st = st.select("label", lo.alias("lo"), hi.alias("hi"), "__n")
-    j = d.join(F.broadcast(st), on="label", how="inner")  # one row per class
+    j = d.join(st, on="label", how="inner")  # st has one row per class
     width = (F.col("hi") - F.col("lo")) / bins
     raw = F.floor((F.col("x") - F.col("lo")) / width).cast("int")
     b = F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1))

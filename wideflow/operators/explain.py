@@ -21,7 +21,6 @@ from wideflow.functions.ranking import ordered_scan
 from wideflow.operators.impute import value_counts
 
 Predictor = Callable[[DataFrame], DataFrame]
-MAX_BACKGROUND = 100
 
 
 def model_predictor(model, output: str = "prediction") -> Predictor:
@@ -44,13 +43,12 @@ def linear_predictor(weights: dict[str, float], bias: float = 0.0) -> Predictor:
     return run
 
 
-def background(df: DataFrame, id_col: str, features: Sequence[str], n: int = MAX_BACKGROUND,
+def background(df: DataFrame, id_col: str, features: Sequence[str], n: int = 100,
                seed: int = 0) -> list[list[float]]:
-    """The first ``n`` (<= 100) rows in a seeded md5 order, complete rows only.
+    """The first ``n`` rows in a seeded md5 order, complete rows only.
 
     A top-n (each task keeps n rows), so the driver receives n x p values.
     """
-    n = min(n, MAX_BACKGROUND)
     d = df.select(id_col, *features).dropna(subset=list(features))
     rows = d.orderBy(md5_order_key(f"bg{seed}", id_col), F.col(id_col)).limit(n).collect()
     return [[float(r[f]) for f in features] for r in rows]
@@ -86,17 +84,22 @@ def shapley_values(predict_fn: Predictor, df: DataFrame, id_col: str, features:
         at = F.element_at(F.array(*[F.lit(pos[k][i]) for k in range(n_perm)]), F.col("__k") + 1)
         bval = F.element_at(F.array(*[F.lit(row[i]) for row in bg]), F.col("__b") + 1)
         hybrid.append(F.when(at < F.col("__j"), F.col(f).cast("double")).otherwise(bval).alias(f))
-    h = predict_fn(d.select("__id", "__k", "__b", "__j", *hybrid)).select("__id", "__k", "__b", "__j", "__f")
-    w = Window.partitionBy("__id", "__k", "__b").orderBy("__j")
-    credited = F.element_at(F.array(*[F.array(*[F.lit(feats[i]) for i in perm]) for perm in perms]),
-                            F.col("__k") + 1)
-    steps = h.select("__id", "__j", (F.col("__f") - F.lag("__f").over(w)).alias("__d"),
-                     F.element_at(credited, F.greatest(F.col("__j"), F.lit(1))).alias("feature"))
-    phi = steps.where(F.col("__j") > 0).groupBy("__id", "feature").agg(F.avg("__d").alias("phi"))
-    values = df.select(F.col(id_col).alias("__id"), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])).alias("v")
-    ).select("__id", "v.*")
-    return phi.join(values, on=["__id", "feature"]).withColumnRenamed("__id", id_col)
+    # The row's own values ride along as one array: no join back.
+    own = F.array(*[F.col(f).cast("double") for f in feats]).alias("__x")
+    h = predict_fn(d.select("__id", "__k", "__j", own, *hybrid)).select("__id", "__k", "__j", "__x", "__f")
+    # A hybrid adds to the feature it has just taken and takes from the one it
+    # takes next, so phi is a signed sum, combined before the shuffle.
+    order = F.element_at(F.array(*[F.array(*[F.lit(i) for i in perm]) for perm in perms]), F.col("__k") + 1)
+    signed = F.explode(F.filter(F.array(
+        F.struct(F.get(order, F.col("__j") - 1).alias("i"), F.col("__f").alias("d")),
+        F.struct(F.get(order, F.col("__j")).alias("i"), (-F.col("__f")).alias("d"))),
+        lambda s: s.getField("i").isNotNull()))
+    phi = (h.select("__id", "__x", signed.alias("s"))
+           .groupBy("__id", F.col("s.i").alias("__i"))
+           .agg((F.sum("s.d") / F.lit(n_perm * len(bg))).alias("phi"),
+                F.first(F.get("__x", F.col("s.i"))).alias("value")))
+    names = F.array(*[F.lit(f) for f in feats])
+    return phi.select(F.col("__id").alias(id_col), F.get(names, F.col("__i")).alias("feature"), "phi", "value")
 
 
 def mean_abs_importance(phi: DataFrame) -> DataFrame:

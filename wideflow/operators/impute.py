@@ -31,31 +31,45 @@ INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], id_col: str | None = None) -> DataFrame:
-    """(column, value, n[, first_id]) per distinct non-missing value."""
-    long = df.select(*([F.col(id_col).alias("__id")] if id_col else []), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]))
-        .alias("p")).select(*(["__id"] if id_col else []), "p.column", "p.value")
-    long = long.where(F.col("value").isNotNull())
+    """(column, whole, value, n[, first_id]) per distinct non-missing value of
+    the numeric ``cols``.  ``value`` is the double; values of integral columns
+    are counted as integers and also stand in ``whole``, so those beyond 2**53
+    stay apart.  -0.0 and 0.0 are one value."""
+    def cell(c):
+        whole = isinstance(df.schema[c].dataType, INTEGRAL)
+        return F.struct(F.lit(c).alias("column"),
+                        (F.col(c) if whole else F.lit(None)).cast("long").alias("whole"),
+                        (F.col(c).cast("double") + F.lit(0.0)).alias("value"))
+
+    long = df.select(*([F.col(id_col).alias("__id")] if id_col else []),
+                     F.explode(F.array(*[cell(c) for c in cols])).alias("p")).select(
+        *(["__id"] if id_col else []), "p.*").where(F.col("value").isNotNull())
     aggs = [F.count(F.lit(1)).alias("n")]
     if id_col:
         aggs.append(F.min("__id").alias("first_id"))
-    return long.groupBy("column", "value").agg(*aggs)
+    return long.groupBy("column", "whole", "value").agg(*aggs)
+
+
+def numeric_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Those of ``cols`` that hold numbers; others have no fill value."""
+    return [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
 
 
 def modes(counts: DataFrame, tie: str = "smallest") -> DataFrame:
-    """(column, mode): top count; ties -> smallest value, or lowest first id."""
+    """(column, mode, whole): top count; ties -> smallest value, or lowest first
+    id.  ``whole`` is the exact mode of an integral column."""
     top = counts.groupBy("column").agg(F.max("n").alias("__top"))
-    cand = counts.join(F.broadcast(top), on="column").where(F.col("n") == F.col("__top"))
-    if tie == "first":
-        return cand.groupBy("column").agg(F.min_by("value", "first_id").alias("mode"))
-    return cand.groupBy("column").agg(F.min("value").alias("mode"))
+    cand = counts.join(top, on="column").where(F.col("n") == F.col("__top"))
+    best = F.struct(*(["first_id"] if tie == "first" else []), "whole", "value")
+    return cand.groupBy("column").agg(F.min(best).alias("b")).select(
+        "column", F.col("b.value").alias("mode"), F.col("b.whole").alias("whole"))
 
 
 def medians(counts: DataFrame) -> DataFrame:
     """(column, median): exact, mean of the two middle values for even n."""
     s = ordered_scan(counts, ["column"], "value", ["n"], descending=False)
     tot = counts.groupBy("column").agg(F.sum("n").alias("__tot"))
-    s = s.join(F.broadcast(tot), on="column")  # one row per column
+    s = s.join(tot, on="column")  # one row per column
     lo_k = F.floor((F.col("__tot") + 1) / 2)
     hi_k = F.ceil((F.col("__tot") + 1) / 2)
     hit_lo = (F.col("prev_n") < lo_k) & (F.col("cum_n") >= lo_k)
@@ -68,16 +82,19 @@ def fill_values(df: DataFrame, cols: Sequence[str], strategies: Iterable[str] =
                 tie: str = "smallest", id_col: str | None = None) -> dict[str, dict[str, float | None]]:
     """{strategy: {column: value}} for all columns; bounded (3 x columns)."""
     strategies = list(strategies)
-    out: dict[str, dict[str, float | None]] = {s: {c: None for c in cols} for s in strategies}
+    every, cols = cols, numeric_columns(df, cols)
+    out: dict[str, dict[str, float | None]] = {s: {c: None for c in every} for s in strategies}
+    if not cols:
+        return out
     if "mean" in strategies:
         row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"__a{i}") for i, c in enumerate(cols)]).first()
-        out["mean"] = {c: row[f"__a{i}"] for i, c in enumerate(cols)}
+        out["mean"] |= {c: row[f"__a{i}"] for i, c in enumerate(cols)}
     if "mode" in strategies or "median" in strategies:
         counts = value_counts(df, cols, id_col if tie == "first" else None)
         counts = cut_lineage(counts)
         if "mode" in strategies:
             for r in modes(counts, tie).collect():
-                out["mode"][r["column"]] = r["mode"]
+                out["mode"][r["column"]] = r["mode"] if r["whole"] is None else r["whole"]
         if "median" in strategies:
             for r in medians(counts).collect():
                 out["median"][r["column"]] = r["median"]
@@ -85,7 +102,10 @@ def fill_values(df: DataFrame, cols: Sequence[str], strategies: Iterable[str] =
 
 
 def _filled(df: DataFrame, c: str, value) -> Column:
-    """Filled column as double (a column with gaps is float in pandas too)."""
+    """Filled column as double (a column with gaps is float in pandas too); a
+    column that holds no numbers stays as it is."""
+    if not numeric_columns(df, [c]):
+        return F.col(c)
     if value is None:
         return F.col(c).cast("double")
     return F.coalesce(F.col(c).cast("double"), F.lit(float(value)))
@@ -94,10 +114,17 @@ def _filled(df: DataFrame, c: str, value) -> Column:
 def fill(df: DataFrame, cols: Sequence[str], strategy: str = "mean", tie: str = "smallest",
          id_col: str | None = None) -> DataFrame:
     """IMP-2..5: fill missing cells of ``cols`` with the column's mean, exact
-    median or mode; filled columns are double.  A column without any value
-    is left missing (IMP-7 passes it through)."""
+    median or mode; filled columns are double, but a long column keeps its type
+    under the mode.  A column without any value is left missing (IMP-7 passes it
+    through), and so is one that holds no numbers."""
     vals = fill_values(df, cols, [strategy], tie, id_col)[strategy]
-    sel = [_filled(df, c, vals[c]).alias(c) if c in vals else F.col(c) for c in df.columns]
+
+    def filled(c):
+        if strategy == "mode" and isinstance(df.schema[c].dataType, T.LongType) and vals[c] is not None:
+            return F.coalesce(F.col(c), F.lit(vals[c]).cast("long"))
+        return _filled(df, c, vals[c])
+
+    sel = [filled(c).alias(c) if c in vals else F.col(c) for c in df.columns]
     return df.select(*sel)
 
 

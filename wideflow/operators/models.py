@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wideflow.operators import evaluate as ev
+from wideflow.operators.clean import positive_prob
 from wideflow.session import materialize
 
 FEATURES_COL = "__features"
@@ -36,9 +37,14 @@ def lr_reg_param(C: float, n: int) -> float:
     return 1.0 / (C * n)
 
 
+CLASS_WEIGHT = "class_weight"
+
+
 def make_estimator(kind: str, label: str, params: Mapping | None = None, seed: int = 11,
                    n_features: int | None = None, weight_col: str | None = None):
     p = dict(params or {})
+    if p.pop("class_weight", None) == "balanced":
+        weight_col = weight_col or CLASS_WEIGHT
     common = dict(featuresCol=FEATURES_COL, labelCol=label)
     if kind == "lr":
         est = LogisticRegression(standardization=False, maxIter=p.pop("maxIter", 100), **common)
@@ -61,23 +67,24 @@ def make_estimator(kind: str, label: str, params: Mapping | None = None, seed: i
 def make_model(kind: str, features: Sequence[str], label: str, params: Mapping | None = None,
                seed: int = 11, weight_col: str | None = None) -> Pipeline:
     """MDL-1..4: assembler + classifier (lr, rf, gbt, mlp)."""
-    asm = VectorAssembler(inputCols=list(features), outputCol=FEATURES_COL, handleInvalid="keep")
+    asm = VectorAssembler(inputCols=list(features), outputCol=FEATURES_COL, handleInvalid="error")
     est = make_estimator(kind, label, params, seed, len(features), weight_col)
     return Pipeline(stages=[asm, est])
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
-    """``class_weight='balanced'``: n / (n_classes * n_class) per row."""
+def balanced_weights(df: DataFrame, label: str, out: str = CLASS_WEIGHT) -> DataFrame:
+    """``class_weight='balanced'``: n / (n_classes * n_class) per row, in the
+    column that models with that parameter read."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     everything = Window.partitionBy()  # the class table: one row per class
     w = counts.select(label, (F.sum("__nc").over(everything)
                               / (F.count(F.lit(1)).over(everything) * F.col("__nc"))).alias(out))
-    return df.join(F.broadcast(w), on=label, how="left")  # one row per class
+    return df.join(w, on=label, how="left")  # w has one row per class
 
 
 def positive_score(pred: DataFrame, out: str = P1) -> DataFrame:
     """Probability of class 1 (PRJ-11) from a fitted pipeline's output."""
-    return pred.withColumn(out, vector_to_array("probability")[1])
+    return positive_prob(pred, "probability", out)
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = P1) -> DataFrame:

@@ -15,6 +15,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 
@@ -22,6 +23,12 @@ def _cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
     return list(df.columns if cols is None else cols)
 
 
+def _as_text(df: DataFrame, c: str) -> Column:
+    """The value as text; -0.0 and 0.0 are one value."""
+    floating = isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))
+    return (F.col(c) + F.lit(0.0) if floating else F.col(c)).cast("string")
+
+
 def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, n_rows, n_missing, missing_pct) from one aggregation pass."""
     cols = _cols(df, cols)
@@ -39,7 +46,7 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     column has no row here (``profile`` reports it with 0)."""
     cols = _cols(df, cols)
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+        F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in cols]))
         .alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
     per_value = long.distinct()
     return per_value.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
@@ -70,7 +77,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True
                  .withColumn("n_unique", F.coalesce(F.col("n_unique"), F.lit(0)).cast("bigint")))
     cols = _cols(df, cols)
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+        F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in cols]))
         .alias("p")).select("p.column", "p.value")
     per_value = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     out = per_value.groupBy("column").agg(
@@ -102,12 +109,15 @@ def total_missing(df: DataFrame) -> DataFrame:
     return df.agg(expr.cast("bigint").alias("total_missing"))
 
 
-def assert_complete(df: DataFrame) -> DataFrame:
-    """AGG-5: fail the job if any cell is missing, else pass ``df`` through.
+def assert_complete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """AGG-5: fail the job if any cell (of ``cols``) is missing, else pass
+    ``df`` through.
 
     The check runs inside the job (``raise_error``), not on the driver.
     """
-    any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in df.columns])
+    if not _cols(df, cols):
+        return df
+    any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in _cols(df, cols)])
     guard = F.when(any_null, F.raise_error(F.lit("missing values remain after imputation")))
     return df.where(guard.isNull())
 

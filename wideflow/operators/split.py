@@ -24,23 +24,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wideflow.functions.expr import hex_bucket, md5_order_key
-from wideflow.functions.ranking import ranked_within
+from wideflow.functions.ranking import digits_for, ranked_within
 from wideflow.session import materialize
 
 KEY = "__key"
 
 
-def seeded_rank(df: DataFrame, id_col: str, label: str, seed: int | Column,
-                partition_cols: Sequence[str] = (), out: str = "class_rank",
-                bucket_digits: int = 3, broadcast_offsets: bool = False) -> DataFrame:
-    """1-based rank of each row inside its class in the seeded md5 order.
-
-    ``broadcast_offsets`` when the offset table (groups x 16**digits rows)
-    is known to be small, e.g. one group per class."""
+def seeded_rank(df: DataFrame, id_col: str, label: str, seed: int | Column, rows: int,
+                partition_cols: Sequence[str] = (), out: str = "class_rank") -> DataFrame:
+    """1-based rank of each row inside its class in the seeded md5 order;
+    ``rows`` is the size of the largest class."""
     d = df.withColumn(KEY, md5_order_key(seed, id_col))
-    parts = [*partition_cols, label]
-    r = ranked_within(d, parts, [F.col(KEY), F.col(id_col)], hex_bucket(KEY, bucket_digits), out,
-                      broadcast_offsets=broadcast_offsets)
+    r = ranked_within(d, [*partition_cols, label], [F.col(KEY), F.col(id_col)],
+                      hex_bucket(KEY, digits_for(rows)), out)
     return r.drop(KEY)
 
 
@@ -65,64 +61,54 @@ def train_allocation(df: DataFrame, label: str, ratios: Sequence[float]) -> Data
     return a.select("ratio_idx", "split_ratio", label, "n_class", "n_train")
 
 
-# Largest status table (rows) that is broadcast; its size is known up front.
-MAX_BROADCAST_STATUS_ROWS = 2_000_000
+def _bucket_status(counts: DataFrame, parts: Sequence[str], cuts: DataFrame, join_col: str,
+                   cut_cols: Sequence[str]) -> DataFrame:
+    """Per (parts, ``__b``) bucket with ``__n`` rows: the rank before it
+    (``__o``), for every cut whether the bucket lies beyond it
+    (``__all_out_<c>``), and whether any cut falls inside (``__straddle``)."""
+    w = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    status = counts.withColumn("__o", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    status = status.join(cuts, on=join_col, how="inner")
+    straddle = F.lit(False)
+    sel = [*parts, "__b", "__o"]
+    for c in cut_cols:
+        lo, hi = F.col("__o"), F.col("__o") + F.col("__n")
+        straddle = straddle | ((lo < F.col(c)) & (hi > F.col(c)))
+        sel += [c, (lo >= F.col(c)).alias(f"__all_out_{c}")]
+    return materialize(status.select(*sel, straddle.alias("__straddle")))
 
 
 def _beyond_cuts(d: DataFrame, parts: Sequence[str], id_col: str, cuts: DataFrame,
-                 cut_cols: Sequence[str], join_col: str, n_groups: int,
-                 digits: int = 3) -> DataFrame:
+                 cut_cols: Sequence[str], join_col: str, rows: int) -> DataFrame:
     """Add boolean ``__out_<c>`` = (seeded rank within ``parts`` > cut ``c``).
 
     The rank order is (md5 key, id).  Rows are bucketed by the key's leading
-    hex digits; per-bucket counts give each bucket's rank range, so a bucket
-    lies wholly below or wholly above a cut, except the one bucket per cut
-    that straddles it.  Only rows of straddling buckets are ranked exactly
-    (a window over that bucket alone); every other row is decided by a
-    broadcast lookup.  No full sort of the data happens at any size.
-    ``cuts`` holds one row per ``join_col`` value with the cut columns;
-    ``n_groups`` is the number of distinct ``parts`` values, which bounds
-    the status table at ``n_groups * 16**digits`` rows whatever the data
-    size.  Within that bound it is broadcast, so the rows are never shuffled
-    for the lookup.
+    hex digits (as many as the largest class of ``rows`` rows asks for);
+    per-bucket counts give each bucket's rank range, so a bucket lies wholly
+    below or wholly above a cut, except the one bucket per cut that straddles
+    it.  Only rows of straddling buckets are ranked exactly.
     """
     p = list(parts)
-    b = "__b"
-    d = d.withColumn(b, hex_bucket(KEY, digits))
-    counts = d.groupBy(*p, b).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*p).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    status = counts.withColumn("__o", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    status = status.join(cuts, on=join_col, how="inner")
-    straddle = F.lit(False)
-    sel = [*p, b, "__o"]
-    for c in cut_cols:
-        lo, hi = F.col("__o"), F.col("__o") + F.col("__n")
-        straddle = straddle | ((lo < F.col(c)) & (hi > F.col(c)))
-        sel += [c, (lo >= F.col(c)).alias(f"__all_out_{c}")]
-    # Stored once: both branches below read it (otherwise each would
-    # recount the buckets over all rows).
-    status = materialize(status.select(*sel, straddle.alias("__straddle")))
-    if n_groups * 16 ** digits <= MAX_BROADCAST_STATUS_ROWS:
-        status = F.broadcast(status)
-    j = d.join(status, on=[*p, b], how="inner")
+    d = d.withColumn("__b", hex_bucket(KEY, digits_for(rows)))
+    counts = d.groupBy(*p, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    status = _bucket_status(counts, p, cuts, join_col, cut_cols)
+    j = d.join(status, on=[*p, "__b"], how="inner")
     exact = j.where(F.col("__straddle"))
-    rank = F.row_number().over(Window.partitionBy(*p, b).orderBy(F.col(KEY), F.col(id_col))) + F.col("__o")
+    rank = F.row_number().over(Window.partitionBy(*p, "__b").orderBy(F.col(KEY), F.col(id_col))) + F.col("__o")
     exact = exact.select("*", *[(rank > F.col(c)).alias(f"__out_{c}") for c in cut_cols])
     rest = j.where(~F.col("__straddle"))
     rest = rest.select("*", *[F.col(f"__all_out_{c}").alias(f"__out_{c}") for c in cut_cols])
-    drop = [b, "__o", "__straddle", *cut_cols, *[f"__all_out_{c}" for c in cut_cols]]
+    drop = ["__b", "__o", "__straddle", *cut_cols, *[f"__all_out_{c}" for c in cut_cols]]
     return exact.unionByName(rest).drop(*drop)
 
 
-
 def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float = 0.2,
                      seed: int = 11, out: str = "split") -> DataFrame:
     """SPL-1: add ``split`` = 'train' / 'test'.  Rows with a NULL label are dropped."""
     d = df.where(F.col(label).isNotNull())
-    alloc = train_allocation(d, label, [test_size]).select(label, "n_train")
+    alloc = materialize(train_allocation(d, label, [test_size]).select(label, "n_class", "n_train"))
     d = d.withColumn(KEY, md5_order_key(seed, id_col))
-    alloc = materialize(alloc)
-    r = _beyond_cuts(d, [label], id_col, alloc, ["n_train"], label, n_groups=alloc.count())
+    r = _beyond_cuts(d, [label], id_col, alloc.drop("n_class"), ["n_train"], label, _largest(alloc))
     return (r.withColumn(out, F.when(F.col("__out_n_train"), "test").otherwise("train"))
              .drop(KEY, "__out_n_train"))
 
@@ -131,16 +117,21 @@ def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 5, seed: i
                      out: str = "fold") -> DataFrame:
     """SPL-2: add ``fold`` in 0..k-1.  Rows with a NULL label are dropped."""
     d = df.where(F.col(label).isNotNull())
-    counts = d.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
+    counts = materialize(d.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")))
     before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(label, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    # One row per class: broadcast, never a two-key shuffle join.
-    r = seeded_rank(d, id_col, label, seed, out="__rank", broadcast_offsets=True)
-    r = r.join(F.broadcast(offsets), on=label, how="inner")
+    offsets = counts.select(label, F.coalesce(F.sum("n_class").over(before), F.lit(0)).alias("__off"))
+    # ``offsets`` has one row per class.
+    r = seeded_rank(d, id_col, label, seed, _largest(counts), out="__rank")
+    r = r.join(offsets, on=label, how="inner")
     return (r.withColumn(out, ((F.col("__off") + F.col("__rank") - 1) % k).cast("int"))
              .drop("__rank", "__off"))
 
 
+def _largest(classes: DataFrame) -> int:
+    """Rows of the largest class of a stored class table."""
+    return classes.agg(F.max("n_class")).first()[0] or 0
+
+
 def sweep_test_counts(df: DataFrame, id_col: str, label: str, score: str,
                       seeds: Sequence[int], ratios: Sequence[float]) -> DataFrame:
     """SPL-3: (seed, split_ratio, score, pos, neg) over the test part of every split.
@@ -151,24 +142,37 @@ def sweep_test_counts(df: DataFrame, id_col: str, label: str, score: str,
     """
     d = (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
            .select(id_col, label, F.col(score).cast("double").alias("score")))
+    # The rows are about to be fanned out over the seeds: enough partitions for that.
     d = materialize(d, spread=True)
     score = "score"
-    alloc = train_allocation(d, label, ratios)
+    alloc = materialize(train_allocation(d, label, ratios))
     nr = len(ratios)
-    wide = (alloc.groupBy(label).pivot("ratio_idx", list(range(nr)))
-                 .agg(F.first("n_train")))
-    wide = materialize(wide.select(label, *[F.col(str(i)).alias(f"__nt{i}") for i in range(nr)]))
-    seeded = d.select("*", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"))
-    seeded = seeded.withColumn(KEY, md5_order_key(F.col("seed"), id_col))
     cut_cols = [f"__nt{i}" for i in range(nr)]
-    r = _beyond_cuts(seeded, ["seed", label], id_col, wide, cut_cols, label,
-                     n_groups=len(seeds) * wide.count())
-    agg = r.groupBy("seed", label, score).agg(
-        *[F.sum(F.col(f"__out_{c}").cast("int")).alias(f"__t{i}") for i, c in enumerate(cut_cols)])
+    wide = (alloc.groupBy(label).pivot("ratio_idx", list(range(nr))).agg(F.first("n_train"))
+            .select(label, *[F.col(str(i)).alias(c) for i, c in enumerate(cut_cols)]))
+    wide = materialize(wide)
+    seeded = d.select("*", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"))
+    seeded = seeded.withColumn(KEY, md5_order_key(F.col("seed"), id_col)).withColumn(
+        "__b", hex_bucket(KEY, digits_for(_largest(alloc))))
+    parts = ["seed", label]
+    # One pass over all seeded rows; everything but the straddling buckets is
+    # settled on its counts.
+    table = materialize(seeded.groupBy(*parts, "__b", score).agg(F.count(F.lit(1)).alias("__n")))
+    counts = table.groupBy(*parts, "__b").agg(F.sum("__n").alias("__n"))
+    status = _bucket_status(counts, parts, wide, label, cut_cols)
+    whole = table.join(status.where(~F.col("__straddle")), on=[*parts, "__b"]).groupBy(*parts, score).agg(
+        *[F.sum(F.when(F.col(f"__all_out_{c}"), F.col("__n")).otherwise(0)).alias(f"__t{i}")
+          for i, c in enumerate(cut_cols)])
+    # seeds x classes x ratios rows at most: a proven bound
+    cut = F.broadcast(status.where("__straddle"))
+    rank = F.row_number().over(Window.partitionBy(*parts, "__b").orderBy(F.col(KEY), F.col(id_col)))
+    exact = seeded.join(cut, on=[*parts, "__b"]).withColumn("__rank", rank + F.col("__o")).groupBy(*parts, score).agg(
+        *[F.sum((F.col("__rank") > F.col(c)).cast("int")).alias(f"__t{i}") for i, c in enumerate(cut_cols)])
+    agg = whole.unionByName(exact)
     per = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("split_ratio"), F.col(f"__t{i}").alias("n"))
                               for i, x in enumerate(ratios)])).alias("p")
     long = agg.select("seed", label, score, per).select("seed", label, score, "p.*")
     return materialize(long.groupBy("seed", "split_ratio", score)
                 .agg(F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).cast("bigint").alias("pos"),
-                     F.sum(F.when(F.col(label) == 0, F.col("n")).otherwise(0)).cast("bigint").alias("neg"))
+                     F.sum(F.when(F.col(label) == 1, 0).otherwise(F.col("n"))).cast("bigint").alias("neg"))
                 .where((F.col("pos") + F.col("neg")) > 0))

@@ -20,16 +20,32 @@ from wideflow.operators import profile as pr
 from wideflow.sources import io
 
 
+# The reference's categoric codes.
+REFERENCE_CATEGORIC = [
+    "sex", "ethnicity",
+    *[f"s_meds_{x}" for x in "a b d g h j l m n p r s v c".split()],
+    *[f"s_meds_c_{x}" for x in "cardiac ht diur bb ccb ren lipid other".split()],
+    "clinic_bp_status",
+    *[f"ses_{x}" for x in "skill education income score class".split()],
+    "bp_grade",
+]
+
+
 def clean_table(df: DataFrame, label: str = "abpm_overall_ht", status: str = "clinic_bp_status",
-                id_col: str = "s_pp_number", categoric: Sequence[str] = (), max_pct: float = 10.0,
+                id_col: str = "s_pp_number", categoric: Sequence[str] | None = None, max_pct: float = 10.0,
                 estimator=None, max_iter: int = 10, seed: int = 42,
                 measures=ms.REFERENCE_MEASURES, flags=fl.REFERENCE_FLAGS,
                 removed: Sequence[str] = ms.REFERENCE_REMOVED) -> DataFrame:
     """Script-1 semantics: derived measures and flags (one projection),
     leakage columns removed, label present, cohort ``status != 1`` keeping
-    missing, sparse columns then sparse rows dropped, numeric columns
-    imputed (label, id and categoric codes excluded), constant columns
-    dropped.  Categoric codes are left for the fill variants (script 2)."""
+    missing, sparse columns then sparse rows dropped, numeric columns imputed
+    (label, id and categoric codes, by default the reference's list and the
+    rule flags, excluded), sparse columns and rows dropped once more, constant
+    columns dropped, and the job fails if an imputed column still has a gap.
+    Columns that are not numeric go.  Categoric codes are left for the fill
+    variants (script 2)."""
+    if categoric is None:
+        categoric = [*REFERENCE_CATEGORIC, *[name for name, _, _ in flags]]
     d = ms.derive_measures(df, measures)
     d = d.select("*", *fl.flag_columns(flags))
     d = ms.drop_columns(d, removed, strict=False)
@@ -39,12 +55,16 @@ def clean_table(df: DataFrame, label: str = "abpm_overall_ht", status: str = "cl
     d = pr.drop_sparse_columns(d, max_pct)
     d = pr.drop_sparse_rows(d, max_pct)
     keep_out = {label, id_col, *categoric}
-    numeric = [c for c in cl.numeric_only(d).columns if c not in keep_out]
+    d = cl.numeric_only(d)
+    numeric = [c for c in d.columns if c not in keep_out]
     if numeric:
         imputer = im.IterativeImputer(numeric, estimator or im.gbt_estimator(), max_iter=max_iter, seed=seed)
         d = imputer.fit_transform(d)
         d = im.fill(d, numeric, "mean")  # residual gaps (IMP-2)
-    return pr.drop_constant_columns(d)
+    d = pr.drop_sparse_columns(d, max_pct)
+    d = pr.drop_sparse_rows(d, max_pct)
+    d = pr.drop_constant_columns(d)
+    return pr.assert_complete(d, [c for c in numeric if c in d.columns])
 
 
 def write_variants(df: DataFrame, path: str, categoric: Sequence[str]) -> DataFrame:

@@ -26,7 +26,7 @@ def _q(name, sql=None):
 # phi_f = w_f * (x_f - mean of the background's x_f), so it has an exact oracle.
 XFEATS = ["n_lines", "sbp", "dbp", "bmi", "lab"]
 WEIGHTS = {"n_lines": 0.5, "sbp": 0.01, "dbp": 0.02, "bmi": -0.03, "lab": 0.0001}
-N_BG, N_PERM = 10, 2
+N_BG, N_PERM = 100, 2
 
 
 def _complete(spark, sf):
@@ -79,12 +79,16 @@ def q_rank_importance(spark, sf):
        FROM phi""", *_BG_SQL), ["phi", "value", "value_scaled"]))
 def q_beeswarm_points(spark, sf):
     """XPL-5: (feature, phi, value, value scaled to [0, 1] per feature) behind the plot."""
-    phi = _linear_phi(spark, sf)
-    st = phi.groupBy("feature").agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
-    j = phi.join(st, on="feature")
-    return finish(j.select("feature", "phi", "value",
-                           F.try_divide(F.col("value") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-                           .alias("value_scaled")))
+    # The ranges come from the input columns: phi is computed once.
+    span = _complete(spark, sf).agg(*[x for f in XFEATS for x in (
+        F.min(f).cast("double").alias(f"lo_{f}"), F.max(f).cast("double").alias(f"hi_{f}"))]).first()
+
+    def at(end):
+        return F.element_at(F.create_map(*[F.lit(x) for f in XFEATS for x in (f, span[f"{end}_{f}"])]), F.col("feature"))
+
+    return finish(_linear_phi(spark, sf).select(
+        "feature", "phi", "value",
+        F.try_divide(F.col("value") - at("lo"), at("hi") - at("lo")).alias("value_scaled")))
 
 
 @_q("shapley_values")
@@ -93,7 +97,7 @@ def q_shapley_values(spark, sf):
     d = prepared(spark, sf)
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     model = md.make_model("lr", FEATS, LABEL, {"regParam": 1e-4}).fit(train)
-    bg = xp.background(test, "id", FEATS, 20, seed=0)
+    bg = xp.background(test, "id", FEATS, 100, seed=0)
     return xp.shapley_values(xp.model_predictor(model, "prediction"), test, "id", FEATS, bg, 2, seed=0)
 
 

@@ -30,20 +30,10 @@ LABEL = "y_signal"
 FEATS = ["n_lines", "l_q", "r_q", "l_p", "r_p", "l_d", "r_d", "sbp", "dbp", "bmi", "lab"]
 
 
-_PREPARED: dict = {}
-
-
 def prepared(spark, sf, features=FEATS, k: int = 5):
     """obs -> label present -> mean fill -> stratified split (0.2, seed 11)
-    -> min-max scale fitted on train -> 5 stratified folds inside each split.
-    Stored once per session: every model fit below reads the stored table."""
-    key = (id(spark.sparkContext), sf, tuple(features), k)
-    if key not in _PREPARED:
-        _PREPARED[key] = _prepare(spark, sf, features, k)
-    return _PREPARED[key]
-
-
-def _prepare(spark, sf, features, k):
+    -> min-max scale fitted on train -> 5 stratified folds inside each split,
+    stored once for the models of the query."""
     d = obs(spark, sf).where(F.col(LABEL).isNotNull()).select("id", LABEL, *features)
     d = im.fill(d, list(features), "mean")
     d = sp.stratified_split(d, "id", LABEL, 0.2, 11)

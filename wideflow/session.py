@@ -74,10 +74,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def env_cores(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))
-
-
 def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     """Compute ``df`` once, store it as Parquet in the shared checkpoint
     folder and return a DataFrame that scans the stored copy.
@@ -89,15 +85,16 @@ def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     The copy lives in ``spark.checkpoint.dir``, so it survives the loss of
     the executors that computed it.
 
-    ``spread`` round-robins the rows over the default parallelism before the
-    write; use it for small inputs that are about to be fanned out (e.g. one
-    copy per seed), so the fan-out does not run in a handful of tasks.
+    ``spread`` deals the rows out over all cores, or the session's number of
+    shuffle partitions if that is more; use it before a fan-out (e.g. one copy
+    per seed), so that this does not run in a handful of tasks.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/wideflow-tables/{uuid.uuid4().hex}"
     if spread:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
+        df = df.repartition(max(spark.sparkContext.defaultParallelism,
+                                int(spark.conf.get("spark.sql.shuffle.partitions"))))
     df.write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
     out.wideflow_path = path
