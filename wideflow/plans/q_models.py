@@ -105,6 +105,32 @@ def q_cv_score(spark, sf):
     return md.cv_scores(md.make_model("lr", FEATS, LABEL, {"regParam": 1e-4}), d, LABEL, "fold")
 
 
+@_q("model_lr_prevalence", with_obs(
+    "SELECT id, (SELECT ROUND(AVG(CAST(y_signal AS DOUBLE)), 4) FROM obs WHERE y_signal IS NOT NULL) AS p1 "
+    "FROM obs WHERE y_signal IS NOT NULL"))
+def q_model_lr_prevalence(spark, sf):
+    """MDL-1 and PRJ-11 where the answer is known: under a large L1 penalty all
+    weights are zero and the probability is the share of positives."""
+    d = obs(spark, sf).where(F.col(LABEL).isNotNull()).select(
+        "id", F.col(LABEL).cast("double").alias(LABEL), "bmi", F.col("sex").cast("double").alias("sex"))
+    model = md.make_model("lr", ["bmi", "sex"], LABEL, {"regParam": 100.0, "elasticNetParam": 1.0, "tol": 1e-12}).fit(d)
+    return md.predict(model, d).select("id", F.round(md.P1, 4).alias("p1"))
+
+
+@_q("model_rf_stump", with_obs(
+    "SELECT o.id, ROUND(g.p, 6) AS p1 FROM obs o JOIN (SELECT n_lines > 4 AS many, AVG(CAST(y_signal AS DOUBLE)) AS p "
+    "FROM obs WHERE y_signal IS NOT NULL AND n_lines IS NOT NULL GROUP BY n_lines > 4) g "
+    "ON (o.n_lines > 4) = g.many WHERE o.y_signal IS NOT NULL"))
+def q_model_rf_stump(spark, sf):
+    """MDL-2 where the answer is known: one tree of depth 1, without bootstrap,
+    on a 0/1 feature gives the share of positives on each side."""
+    d = obs(spark, sf).where(F.col(LABEL).isNotNull() & F.col("n_lines").isNotNull()).select(
+        "id", F.col(LABEL).cast("double").alias(LABEL), (F.col("n_lines") > 4).cast("double").alias("many"))
+    model = md.make_model("rf", ["many"], LABEL, {"numTrees": 1, "maxDepth": 1, "bootstrap": False,
+                                                 "minInfoGain": 0.0}).fit(d)
+    return md.predict(model, d).select("id", F.round(md.P1, 6).alias("p1"))
+
+
 @_q("positive_prob")
 def q_positive_prob(spark, sf):
     """PRJ-11: class-1 probability out of a fitted model's vector."""
