@@ -61,7 +61,8 @@ def test_cutoffs_hold_per_stratum_and_reject_junk(spark):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
     good = [(i, " ".join(word() for _ in range(rng.randint(60, 90))), ["en", "fr"][i % 2], "a") for i in range(3000)]
     junk = [(5000 + i, " ".join(word() + "$$##" for _ in range(70)), ["en", "fr", None][i % 3], "a") for i in range(60)]
-    docs = spark.createDataFrame([(*r, 0) for r in good + junk],
+    empty = [(7000, None, "en", "a"), (7001, "", "fr", "a"), (7002, " ", None, "a")]
+    docs = spark.createDataFrame([(*r, 0) for r in good + junk + empty],
                                  "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(good[0][0], 1), (None, 1)]
                                    + [(i, 0) for i, *_ in junk[:5]], "doc_id long, quality int")
@@ -70,6 +71,7 @@ def test_cutoffs_hold_per_stratum_and_reject_junk(spark):
         own = [out[i] for i, _, x, _ in good if x == lang]
         assert sum(not r.kept for r in own) <= rules.ALLOWED * len(own)
         assert not any(out[i].kept for i, _, x, _ in junk if x == lang)
+    assert all(out[i].base_failed and not out[i].kept for i, *_ in empty)
     # no labels in this stratum: nothing beyond the base is rejected
     assert all(out[i].kept for i, _, x, _ in junk if x is None)
     assert rules.apply_rules(docs.limit(0), labels).count() == 0

@@ -85,6 +85,62 @@ p AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, id, distance FROM r WHERE rank <= 10"""
 
+def _op8_sql() -> str:
+    """The rules in SQL: windows and lines as rows, the binomial sums by lgamma."""
+    def stat(r):
+        a, b = rules.RULES[r][0].removeprefix("try_divide(").removesuffix(")").split(", ")
+        return f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} END"
+
+    grid = ", ".join(f"('{r}', {c!r}::DOUBLE)" for r, (_, cuts) in rules.RULES.items() for c in cuts)
+    n_grid = sum(len(cuts) for _, cuts in rules.RULES.values())
+    rate = repr(rules.ALLOWED / len(rules.RULES)) + "::DOUBLE"
+    stats = " UNION ALL ".join(f"SELECT rid, stratum, '{r}' AS rule, {stat(r)} AS x FROM b WHERE NOT base_failed"
+                               for r in rules.RULES)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 3) x),
+twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM tri) x WHERE c > 1),
+rep AS (
+  SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS k FROM twice) x GROUP BY rid),
+dup AS (
+  SELECT rid, sum(c - 1) AS n FROM (
+    SELECT rid, l, count(*) AS c FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) x
+    WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid, l) y GROUP BY rid),
+f AS (
+  SELECT d.rid, doc_id, lang, CASE WHEN lang IS NULL THEN 'b' ELSE 'a' || lang END AS stratum,
+         CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN dup ON d.rid = dup.rid LEFT JOIN rep ON d.rid = rep.rid),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+s AS ({stats}),
+h AS (SELECT s.* FROM s JOIN b ON s.rid = b.rid WHERE b.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+n AS (SELECT stratum, count(DISTINCT rid) AS n FROM h GROUP BY stratum),
+j AS (SELECT stratum, n, unnest(range(0, n + 1)) AS j FROM n),
+cdf AS (
+  SELECT stratum, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate})
+                      + (n - j) * ln(1 - {rate}))) OVER (PARTITION BY stratum ORDER BY j) AS p FROM j),
+k AS (
+  SELECT stratum, count(*) FILTER (p <= {rules.MISTAKE!r}::DOUBLE / ((SELECT count(*) FROM n) * {n_grid})) - 1 AS k
+  FROM cdf GROUP BY stratum),
+grid AS (SELECT * FROM (VALUES {grid}) v(rule, cut)),
+above AS (
+  SELECT h.stratum, h.rule, cut, count(*) FILTER (x > cut) AS c
+  FROM h JOIN grid ON h.rule = grid.rule GROUP BY h.stratum, h.rule, cut),
+cuts AS (
+  SELECT above.stratum, rule, min(cut) AS cut FROM above JOIN k ON above.stratum = k.stratum
+  WHERE c <= k GROUP BY above.stratum, rule),
+bad AS (SELECT DISTINCT rid FROM s JOIN cuts ON s.stratum = cuts.stratum AND s.rule = cuts.rule WHERE x > cut)
+SELECT doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND bad.rid IS NULL AS kept
+FROM b LEFT JOIN bad ON b.rid = bad.rid"""
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -134,4 +190,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_hamming_topk": OP7_SQL, "op9_mix_sources": OP9_SQL}
+    return {"op7_hamming_topk": OP7_SQL, "op8_quality_rules": _op8_sql(), "op9_mix_sources": OP9_SQL}

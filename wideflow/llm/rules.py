@@ -23,11 +23,11 @@ from .common import WORD, n_words, pick, stored
 ALLOWED, MISTAKE = 0.05, 0.05
 #: Rule -> (statistic from the base columns, grid of cutoffs).
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "long_words": ("word_chars / n_words", tuple(4 + 0.5 * i for i in range(33))),
-    "short_words": ("n_words / word_chars", tuple(0.125 + 0.025 * i for i in range(36))),
-    "symbols": ("n_symbols / n_words", tuple(0.01 * i for i in range(1, 101))),
-    "repeated_lines": ("n_dup_lines / n_words", tuple(0.002 * i for i in range(1, 101))),
-    "repeated_words": ("n_repeat_words / n_words", tuple(0.01 * i for i in range(0, 51))),
+    "long_words": ("try_divide(word_chars, n_words)", tuple(4 + 0.5 * i for i in range(33))),
+    "short_words": ("try_divide(n_words, word_chars)", tuple(0.125 + 0.025 * i for i in range(36))),
+    "symbols": ("try_divide(n_symbols, n_words)", tuple(0.01 * i for i in range(1, 101))),
+    "repeated_lines": ("try_divide(n_dup_lines, n_words)", tuple(0.002 * i for i in range(1, 101))),
+    "repeated_words": ("try_divide(n_repeat_words, n_words)", tuple(0.01 * i for i in range(0, 51))),
 }
 
 
