@@ -46,6 +46,13 @@ def _parts(code: Column, cut) -> Column:
     return F.array(*[_part(code, at, width) for at, width in cut])
 
 
+def masks(width: int, s: int) -> Column:
+    """All values of ``width`` bits with s bits set, as one folded constant (at
+    most 12,870 of them)."""
+    values = [sum(1 << b for b in c) for c in combinations(range(width), s)]
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def search_codes(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``q``, ``code``, ``distance``: for every distinct query code ``q`` all
     index codes no farther than its k-th nearest row.  ``index`` has distinct
@@ -60,18 +67,18 @@ def search_codes(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     at = stored(index.select("code", "n", F.posexplode(_parts(F.col("code"), cut)).alias("seg", "val")))
     open_queries, found = stored(queries), None
     for s in range(widest + 1):
-        masks = F.create_map(*[x for j, (_, w) in enumerate(cut) for x in (
-            F.lit(j), F.array(*[F.lit(sum(1 << b for b in c)).cast("long")
-                                for c in combinations(range(w), s)]))])
+        flips = F.coalesce(*[F.when(F.col("seg").isin([j for j, (_, x) in enumerate(cut) if x == w]), masks(w, s))
+                             for w in sorted({w for _, w in cut})])
         probes = (open_queries.select("q", F.posexplode(_parts(F.col("q"), cut)).alias("seg", "own"))
-                  .select("q", "seg", "own", F.explode(F.element_at(masks, F.col("seg"))).alias("_m"))
+                  .select("q", "seg", "own", F.explode(flips).alias("_m"))
                   .select("q", "seg", F.col("own").bitwiseXOR(F.col("_m")).alias("val")))
         apart = F.col("code").bitwiseXOR(F.col("q"))
         by_segment = F.array(*[F.bit_count(_part(apart, a, w)) for a, w in cut])
         # A code is met in every segment and round in which it is s apart: take
         # it in its nearest segment only, the first of equally near ones.
         first = (F.array_min(by_segment) == s) & (F.array_position(by_segment, s) == F.col("seg") + 1)
-        new = stored(probes.join(at, ["seg", "val"]).where(first)
+        # Spark takes the probes for as small as the queries they come from: no broadcast.
+        new = stored(probes.hint("merge").join(at, ["seg", "val"]).where(first)
                      .select("q", "code", "n", F.bit_count(apart).cast("int").alias("distance")))
         found = new if found is None else found.unionByName(new)
         covered = m * (s + 1) - 1
