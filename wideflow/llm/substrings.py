@@ -1,9 +1,10 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash bands.
 
 A document falls into two kinds of units.  Paragraphs are its lines of at least
-``MIN_PARAGRAPH`` words; their bands are minima of three hash functions over
-the five-word shingles, so two paragraphs of Jaccard similarity 0.8 collide
-with probability 1 - 0.2 ** 3 = 0.992.  Colliding paragraphs are verified by
+``MIN_PARAGRAPH`` words; they have nine bands of four MinHashes each over the
+five-word shingles, so two paragraphs of Jaccard similarity 0.8 collide with
+probability 1 - (1 - 0.8 ** 4) ** 9 = 0.991, and two that share a third of
+their shingles with 0.1.  Colliding paragraphs are verified by
 the exact Jaccard similarity of their shingle sets, and removals are clustered
 by the components of the verified links.  Passages that repeat inside longer
 or different paragraphs are found by pieces: the word sequence is cut before
@@ -29,10 +30,12 @@ from .common import (_P, _Q, _power_table, digest, mix, pick, position, shingle_
                      stored, with_key, word_hashes, word_spans)
 from .components import bucket_links, connected_components
 
-SHINGLE, JACCARD, BANDS = 5, 0.8, 3
-MIN_PARAGRAPH, MIN_PASSAGE, MIN_PIECE, RADIUS = 25, 20, 4, 3
+SHINGLE, JACCARD, BANDS, ROWS = 5, 0.8, 9, 4
+MIN_PARAGRAPH, MIN_PASSAGE, MIN_PIECE, RADIUS = 25, 20, 4, 4
 
-UNIT = "h long, doc_id long, rid long, idx int, start int, n int, k array<long>"
+#: A unit: hash of its words, document, place (first word * 2**24 + words), bands.
+UNIT = "h long, doc_id long, rid long, at long, k array<long>"
+AT = 1 << 24
 
 
 def sequence_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,7 +81,7 @@ class Texts:
         self.line_word = np.searchsorted(start, breaks)  # first word after each line end
 
     def pieces(self):
-        """(text, idx, first word, words, hash) of the pieces, as arrays."""
+        """(text, first word, words, hash) of the pieces, as arrays."""
         cut = cut_points(self.words, self.dead)
         cut[self.first[self.first < self.last]] = True
         ends = self.last[self.first < self.last]
@@ -90,9 +93,7 @@ class Texts:
         a, b = a[live], b[live]
         text = np.searchsorted(self.first, a, "right") - 1
         h = sequence_hashes(self.words, a, b)
-        begin = np.searchsorted(text, np.arange(len(self.first)))
-        idx = np.arange(len(a)) - begin[text]
-        return text, idx, a - self.first[text], b - a, h
+        return text, a - self.first[text], b - a, h
 
     def paragraphs(self):
         """(text, first word, words, hash, band keys) of the long lines."""
@@ -108,10 +109,16 @@ class Texts:
         s = shingle_hashes(self.words, SHINGLE)
         pairs = np.stack((a, b - SHINGLE + 1), axis=1).ravel()
         keys = []
-        for j in range(BANDS):
-            low = np.minimum.reduceat(mix(s ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)), pairs)[::2]
-            keys.append(mix(low + np.uint64(j)).view(np.int64))
-        return text, a - self.first[text], b - a, sequence_hashes(self.words, a, b), np.stack(keys, axis=1)
+        with np.errstate(over="ignore"):
+            for j in range(BANDS):
+                band = np.full(len(a), j, dtype=np.uint64)
+                for r in range(ROWS):
+                    x = s * np.uint64((_P + 2 * 0x2545F4914F6CDD1D * (j * ROWS + r)) % 2**64 | 1)
+                    band = mix(band * np.uint64(_Q) + np.minimum.reduceat(x ^ (x >> np.uint64(32)), pairs)[::2])
+                keys.append(band.view(np.int64))
+        # lines and pieces of the same words are units of their own
+        h = mix(sequence_hashes(self.words, a, b) + np.uint64(1))
+        return text, a - self.first[text], b - a, h, np.stack(keys, axis=1)
 
 
 def units(rows: DataFrame) -> DataFrame:
@@ -123,22 +130,21 @@ def units(rows: DataFrame) -> DataFrame:
                 if not len(t.words):
                     continue
                 ids, rids = part.column("doc_id"), part.column("rid")
-                text, idx, start, n, h = t.pieces()
+                text, start, n, h = t.pieces()
                 ok = n >= MIN_PIECE
-                yield made(ids, rids, text[ok], idx[ok], start[ok], n[ok], h[ok], None)
+                yield made(ids, rids, text[ok], start[ok], n[ok], h[ok], None)
                 text, start, n, h, keys = t.paragraphs()
                 if len(text):
-                    yield made(ids, rids, text, start, start, n, h, keys)
+                    yield made(ids, rids, text, start, n, h, keys)
 
-    def made(ids, rids, text, idx, start, n, h, keys):
+    def made(ids, rids, text, start, n, h, keys):
         k = (pa.nulls(len(text), pa.list_(pa.int64())) if keys is None else
              pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * BANDS),
                                       pa.array(keys.ravel())))
         take = pa.array(text)
         return pa.RecordBatch.from_pydict({
             "h": pa.array(h.view(np.int64)), "doc_id": ids.take(take), "rid": rids.take(take),
-            "idx": pa.array(idx.astype(np.int32)), "start": pa.array(start.astype(np.int32)),
-            "n": pa.array(n.astype(np.int32)), "k": k})
+            "at": pa.array(start.astype(np.int64) * AT + n), "k": k})
 
     return rows.select("doc_id", "rid", "text").mapInArrow(run, UNIT)
 
@@ -166,6 +172,11 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.select("text", "spans").mapInArrow(run, "node long, sh array<long>")
 
 
+def place(at):
+    """First word and number of words of a unit."""
+    return (F.shiftright(at, 24).alias("start"), at.bitwiseAND(F.lit(AT - 1)).alias("n"))
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, text, rid (a hash of id and text: equal for repeated rows)."""
     return pick(docs, "doc_id", "text").withColumn(
@@ -176,18 +187,19 @@ def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
     """``node`` and ``component`` of paragraphs linked to others that differ."""
     lines = own.where(F.col("k").isNotNull())
     distinct = stored(lines.groupBy(F.col("h").alias("node")).agg(
-        F.min(F.struct("doc_id", "rid", "start", "n", "k")).alias("one")))
+        F.min(F.struct("doc_id", "rid", "at", "k")).alias("one")))
     members = distinct.select(F.explode("one.k").alias("bucket"), "node")
     shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
                     .where(F.col("m") > 1).select("bucket"))
     members = stored(members.join(shared, "bucket", "left_semi"))
     wanted = distinct.join(members.select("node").distinct(), "node", "left_semi")
     per_row = wanted.groupBy("one.rid", "one.doc_id").agg(
-        F.collect_list(F.struct("node", "one.start", "one.n")).alias("spans"))
+        F.collect_list(F.struct("node", *place(F.col("one.at")))).alias("spans"))
+    # A document that is repeated as a row gives its sets as often: once is enough.
     sets = stored(shingle_sets(
-        rows.dropDuplicates(["rid", "doc_id"]).join(
-            per_row.select(F.col("rid").alias("_r"), F.col("doc_id").alias("_d"), "spans"),
-            (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")))))
+        rows.join(per_row.select(F.col("rid").alias("_r"), F.col("doc_id").alias("_d"), "spans"),
+                  (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))))
+        .groupBy("node").agg(F.first("sh").alias("sh")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("sh").alias("_a"))
@@ -201,6 +213,13 @@ def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
     return out
 
 
+def _shared(occurrences: DataFrame) -> DataFrame:
+    """The occurrences, each once, of units that are in two documents or more."""
+    classes = stored(occurrences.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
+                     .where(F.col("lo") != F.col("hi")).select("h"))
+    return occurrences.join(classes, "h", "left_semi").distinct()
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, rid, kind, start_word, n_words, kept_doc_id: the stretches of
     words (counted over the whole text, white space apart) of each document
@@ -216,34 +235,30 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = identified(docs)
     own = stored(units(rows))
     near = paragraph_classes(rows, own)
-    named = (own.where(F.col("k").isNotNull()).drop("k").join(
-        near.withColumnRenamed("node", "h"), "h", "left")
-        .select(F.coalesce("component", "h").alias("h"), "doc_id", "rid", "idx", "start", "n",
-                F.lit(True).alias("line")))
-    pieces = own.where(F.col("k").isNull()).select("h", "doc_id", "rid", "idx", "start", "n",
-                                                   F.lit(False).alias("line"))
-    occurrences = pieces.unionByName(named)
-    classes = stored(occurrences.groupBy("h", "line").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-                     .where(F.col("lo") != F.col("hi")).select("h", "line"))
-    copies = stored(occurrences.join(classes, ["h", "line"], "left_semi").distinct())
+    lines = (own.where(F.col("k").isNotNull()).join(near.withColumnRenamed("node", "h"), "h", "left")
+             .select(F.coalesce("component", "h").alias("h"), "doc_id", "rid", "at", F.lit(True).alias("line")))
+    pieces = own.where(F.col("k").isNull()).select("h", "doc_id", "rid", "at", F.lit(False).alias("line"))
+    copies = stored(_shared(pieces).unionByName(_shared(lines)))
     first = stored(copies.groupBy("h", "line").agg(F.min(F.struct(
         F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "rid")).alias("first")))
     extra = stored(copies.join(first, ["h", "line"]).where(F.col("rid") != F.col("first.rid"))
-                   .select("line", "doc_id", "rid", "idx", "start", "n",
+                   .select("line", "doc_id", "rid", *place(F.col("at")),
                            F.nullif(F.col("first.id"), F.lit(2**63 - 1)).alias("kept_doc_id")))
-    place = Window.partitionBy("rid", "doc_id").orderBy("idx")
-    runs = (extra.where(~F.col("line")).withColumn("_run", F.col("idx") - F.row_number().over(place))
+    # Pieces that follow each other without a gap are one run.
+    order = Window.partitionBy("rid", "doc_id").orderBy("start")
+    apart = F.col("start") != F.lag(F.col("start") + F.col("n"), 1, -1).over(order)
+    runs = (extra.where(~F.col("line")).withColumn("_new", apart.cast("int"))
+            .withColumn("_run", F.sum("_new").over(order))
             .groupBy("rid", "doc_id", "_run").agg(
                 F.min("start").alias("start_word"), F.sum("n").alias("n_words"),
                 F.min("kept_doc_id").alias("kept_doc_id"))
             .where(F.col("n_words") >= MIN_PASSAGE)
-            .select("doc_id", "rid", F.lit("passage").alias("kind"),
-                    F.col("start_word").cast("long").alias("start_word"), "n_words", "kept_doc_id"))
+            .select("doc_id", "rid", F.lit("passage").alias("kind"), "start_word", "n_words", "kept_doc_id"))
     whole = extra.where("line").select(
-        "doc_id", "rid", F.lit("paragraph").alias("kind"), F.col("start").cast("long").alias("start_word"),
-        F.col("n").cast("long").alias("n_words"), "kept_doc_id")
+        "doc_id", "rid", F.lit("paragraph").alias("kind"), F.col("start").alias("start_word"),
+        F.col("n").alias("n_words"), "kept_doc_id")
     out = stored(runs.unionByName(whole))
-    release(own, near, classes, copies, first, extra)
+    release(own, near, copies, first, extra)
     return out
 
 
