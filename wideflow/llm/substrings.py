@@ -201,6 +201,17 @@ def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
                   (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))))
         .groupBy("node").agg(F.first("sh").alias("sh")))
 
+    # A shingle that one paragraph alone has is missing in every other, so a
+    # paragraph with over a fifth of such shingles links to nothing.  This takes
+    # out paragraphs that only share a common passage, before any pair is made.
+    alone = (sets.select("node", F.explode("sh").alias("s")).groupBy("s")
+             .agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where(F.col("c") == 1)
+             .groupBy("node").agg(F.count(F.lit(1)).alias("u")))
+    possible = stored(sets.select("node", F.size("sh").alias("z")).join(alone, "node", "left")
+                      .where(F.coalesce("u", F.lit(0)) <= F.col("z") * F.lit(1 - JACCARD) + F.lit(1e-9))
+                      .select("node"))
+    members = stored(members.join(possible, "node", "left_semi"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("sh").alias("_a"))
         right = sets.select(F.col("node").alias("b"), F.col("sh").alias("_b"))
