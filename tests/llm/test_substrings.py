@@ -91,3 +91,23 @@ def test_piece_cover_and_removal():
     assert all(a + k == b for (a, k), (b, _) in zip(own, own[1:]))
     assert substrings.without("a b  c\nd e", [(1, 2)]) == "a d e"
     assert substrings.without("a b c", [(0, 2), (1, 2)]) == ""
+
+
+def test_passages_of_twenty_words_are_found_to_the_word(spark, make_docs):
+    rng = random.Random(8)
+    rows, planted = [], {}
+    for i in range(0, 200, 2):
+        passage = words(rng, 20 + i % 40)
+        for j in (i, i + 1):
+            left = words(rng, rng.randint(5, 60))
+            rows.append((j, " ".join(left + passage + words(rng, rng.randint(5, 60))), "en", "a"))
+        planted[i + 1] = (len(left), len(passage), i)
+    short = words(rng, 19)                                # one word too few
+    rows += [(300 + i, " ".join(words(rng, 9) + short + words(rng, 9)), "en", "a") for i in range(2)]
+    found = substrings.repeated_passages(make_docs(rows)).collect()
+    assert {r.doc_id: (r.start_word, r.n_words, r.kept_doc_id) for r in found} == planted
+    assert len(found) == len(planted) and {r.kind for r in found} == {"passage"}
+    left = {r[0]: r[1] for r in substrings.remove_passages(make_docs(rows)).collect()}
+    for i, t, _, _ in rows:
+        a, n, _ = planted.get(i, (0, 0, None))
+        assert left[i].split() == t.split()[:a] + t.split()[a + n:]

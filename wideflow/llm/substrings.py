@@ -7,14 +7,14 @@ probability 1 - (1 - 0.8 ** 4) ** 9 = 0.991, and two that share a third of
 their shingles with 0.1.  Colliding paragraphs are verified by
 the exact Jaccard similarity of their shingle sets, and removals are clustered
 by the components of the verified links.  Passages that repeat inside longer
-or different paragraphs are found by pieces: the word sequence is cut before
-every word whose hash is the largest within ``RADIUS`` words to either side, so
-a passage is cut alike wherever it stands, and equal pieces (one band over all
-their words) that follow each other form a repeated passage.
+or different paragraphs are found word by word: every ``MIN_PASSAGE`` words in
+a row are a window, and the window's seed is the least hash of the ``SEED``
+words in a row that it holds.  Equal windows have equal seeds, so only windows
+of seeds that two documents share are compared (by the hash of all their
+words), and none that repeats is left out.
 
 Every class of equal or linked units stays in the document with the smallest
-doc_id; its copies in other documents are removals, passages only where at
-least ``MIN_PASSAGE`` words in a row repeat.
+doc_id; its copies in other documents are removals.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .common import (_P, _Q, _power_table, digest, mix, pick, position, shingle_
 from .components import bucket_links, connected_components
 
 SHINGLE, JACCARD, BANDS, ROWS = 5, 0.8, 9, 4
-MIN_PARAGRAPH, MIN_PASSAGE, MIN_PIECE, RADIUS = 25, 20, 4, 4
+MIN_PARAGRAPH, MIN_PASSAGE, SEED = 25, 20, 8
 
 #: A unit: hash of its words, document, place (first word * 2**24 + words), bands.
 UNIT = "h long, doc_id long, rid long, at long, k array<long>"
@@ -48,16 +48,14 @@ def sequence_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
         return mix((prefix[b] - prefix[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(_P))
 
 
-def cut_points(words: np.ndarray, dead: np.ndarray) -> np.ndarray:
-    """True before a word whose hash is above those of ``RADIUS`` words to the
-    left and not below those to the right.  Words marked dead never are."""
-    c = mix(words ^ np.uint64(0x5851F42D4C957F2D))
-    c[dead] = 0
-    out = ~dead
-    for j in range(1, RADIUS + 1):
-        out[j:] &= c[j:] > c[:-j]
-        out[:-j] &= c[:-j] >= c[j:]
-    return out
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """Minimum of every n neighbours, by doubling."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x = np.minimum(x[:len(x) - step], x[step:])
+        have += step
+    return x
 
 
 class Texts:
@@ -80,9 +78,25 @@ class Texts:
         breaks = np.flatnonzero(raw == 10)
         self.line_word = np.searchsorted(start, breaks)  # first word after each line end
 
+    def windows(self):
+        """(first word in the batch, seed) of every ``MIN_PASSAGE`` words in a
+        row of one text, and the hashes of all ``SEED`` words in a row."""
+        n = len(self.words) - MIN_PASSAGE + 1
+        if n <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        at = np.arange(n + MIN_PASSAGE - SEED)
+        grams = sequence_hashes(self.words, at, at + SEED)
+        dead = np.concatenate(([0], np.cumsum(self.dead)))
+        at = np.flatnonzero(dead[MIN_PASSAGE:] == dead[:n])
+        return at, sliding_min(grams, MIN_PASSAGE - SEED + 1)[at], grams
+
     def pieces(self):
-        """(text, first word, words, hash) of the pieces, as arrays."""
-        cut = cut_points(self.words, self.dead)
+        """(text, first word, words, hash) of the pieces, as arrays: the words
+        from one seed to the next.  The hash is that of the seed."""
+        at, seed, grams = self.windows()
+        cut = np.zeros(len(self.words), dtype=bool)
+        for j in range(MIN_PASSAGE - SEED + 1):
+            cut[at[grams[at + j] == seed] + j] = True
         cut[self.first[self.first < self.last]] = True
         ends = self.last[self.first < self.last]
         edge = cut.copy()
@@ -92,7 +106,7 @@ class Texts:
         live = ~self.dead[a]
         a, b = a[live], b[live]
         text = np.searchsorted(self.first, a, "right") - 1
-        h = sequence_hashes(self.words, a, b)
+        h = sequence_hashes(self.words, a, np.minimum(a + SEED, self.last[text]))
         return text, a - self.first[text], b - a, h
 
     def paragraphs(self):
@@ -122,7 +136,8 @@ class Texts:
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """The units of every row (doc_id, rid, text); band keys only of paragraphs."""
+    """The units of every row (doc_id, rid, text); place and band keys only of
+    paragraphs, the others are seeds."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, 128):
@@ -130,9 +145,11 @@ def units(rows: DataFrame) -> DataFrame:
                 if not len(t.words):
                     continue
                 ids, rids = part.column("doc_id"), part.column("rid")
-                text, start, n, h = t.pieces()
-                ok = n >= MIN_PIECE
-                yield made(ids, rids, text[ok], start[ok], n[ok], h[ok], None)
+                text, _, _, h = t.pieces()
+                ok = (t.last - t.first)[text] >= MIN_PASSAGE
+                # a seed counts once in a text
+                seeds = np.unique(np.rec.fromarrays((text[ok], h[ok]), names="text,h"))
+                yield made(ids, rids, seeds.text, None, None, seeds.h, None)
                 text, start, n, h, keys = t.paragraphs()
                 if len(text):
                     yield made(ids, rids, text, start, n, h, keys)
@@ -144,11 +161,37 @@ def units(rows: DataFrame) -> DataFrame:
         take = pa.array(text)
         return pa.RecordBatch.from_pydict({
             "h": pa.array(h.view(np.int64)), "doc_id": ids.take(take), "rid": rids.take(take),
-            "at": pa.array(start.astype(np.int64) * AT + n), "k": k})
+            "at": pa.nulls(len(text), pa.int64()) if start is None else pa.array(
+                start.astype(np.int64) * AT + n), "k": k})
 
     return rows.select("doc_id", "rid", "text").mapInArrow(run, UNIT)
 
 
+def seeded_windows(rows: DataFrame) -> DataFrame:
+    """``h``, doc_id, rid and ``start`` of the windows whose seed is listed in
+    ``seeds``, of every row (doc_id, rid, text, seeds)."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 128):
+                t = Texts([x or "" for x in part.column("text").to_pylist()])
+                at, seed, _ = t.windows()
+                text = np.searchsorted(t.first, at, "right") - 1
+                edge = np.searchsorted(text, np.arange(part.num_rows + 1))
+                wanted = [np.isin(seed[a:b], np.array(own, dtype=np.int64).view(np.uint64))
+                          for a, b, own in zip(edge[:-1], edge[1:], part.column("seeds").to_pylist(), strict=True)]
+                ok = np.concatenate(wanted)
+                at, text = at[ok], text[ok]
+                for i in range(0, len(at), 100_000):
+                    a, take = at[i:i + 100_000], text[i:i + 100_000]
+                    h = sequence_hashes(t.words, a, a + MIN_PASSAGE)
+                    yield pa.RecordBatch.from_pydict({
+                        "h": pa.array(h.view(np.int64)), "doc_id": part.column("doc_id").take(pa.array(take)),
+                        "rid": part.column("rid").take(pa.array(take)), "start": pa.array(a - t.first[take])})
+
+    return rows.select("doc_id", "rid", "text", "seeds").mapInArrow(
+        run, "h long, doc_id long, rid long, start long")
+
+
 def shingle_sets(rows: DataFrame) -> DataFrame:
     """``node`` and ``sh`` (distinct shingle hashes) of the spans listed in
     ``spans`` (array of node, start, n) of every row (text, spans)."""
@@ -224,11 +267,32 @@ def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
     return out
 
 
-def _shared(occurrences: DataFrame) -> DataFrame:
-    """The occurrences, each once, of units that are in two documents or more."""
-    classes = stored(occurrences.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
+def _extra(occurrences: DataFrame, *columns) -> DataFrame:
+    """``doc_id``, ``rid``, ``columns`` and ``kept_doc_id`` of the occurrences
+    (h, doc_id, rid), each once, of units that an earlier document has."""
+    first = stored(occurrences.groupBy("h").agg(
+        F.min("rid").alias("lo"), F.max("rid").alias("hi"),
+        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "rid")).alias("first"))
+        .where(F.col("lo") != F.col("hi")).select("h", "first"))
+    out = stored(occurrences.join(first, "h").where(F.col("rid") != F.col("first.rid"))
+                 .select("doc_id", "rid", *columns,
+                         F.nullif(F.col("first.id"), F.lit(2**63 - 1)).alias("kept_doc_id")).distinct())
+    release(first)
+    return out
+
+
+def passage_windows(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """The windows (h, doc_id, rid, start) whose seeds two documents share."""
+    seeds = own.where(F.col("k").isNull()).select("h", "doc_id", "rid")
+    classes = stored(seeds.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
                      .where(F.col("lo") != F.col("hi")).select("h"))
-    return occurrences.join(classes, "h", "left_semi").distinct()
+    per_row = (seeds.join(classes, "h", "left_semi").groupBy("rid", "doc_id")
+               .agg(F.collect_set("h").alias("seeds"))
+               .select(F.col("rid").alias("_r"), F.col("doc_id").alias("_d"), "seeds"))
+    out = stored(seeded_windows(rows.join(
+        per_row, (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")))))
+    release(classes)
+    return out
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -237,8 +301,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     that repeat text of the document kept_doc_id, which keeps it.
 
     Kind 'paragraph': a line of at least 25 words, equal or of Jaccard
-    similarity 0.8 to others; kind 'passage': at least 20 words in a row, all in
-    pieces that occur in other documents.  Only repeats across documents count;
+    similarity 0.8 to others; kind 'passage': at least 20 words in a row, each of
+    them within 20 words in a row that an earlier document has too.  Only repeats across documents count;
     rows equal in id and text are one document.  A class stays in its smallest
     doc_id (NULL last), ties by a hash of the text.  NULL and empty texts have
     no units; stretches of the two kinds may overlap.
@@ -247,29 +311,25 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     own = stored(units(rows))
     near = paragraph_classes(rows, own)
     lines = (own.where(F.col("k").isNotNull()).join(near.withColumnRenamed("node", "h"), "h", "left")
-             .select(F.coalesce("component", "h").alias("h"), "doc_id", "rid", "at", F.lit(True).alias("line")))
-    pieces = own.where(F.col("k").isNull()).select("h", "doc_id", "rid", "at", F.lit(False).alias("line"))
-    copies = stored(_shared(pieces).unionByName(_shared(lines)))
-    first = stored(copies.groupBy("h", "line").agg(F.min(F.struct(
-        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "rid")).alias("first")))
-    extra = stored(copies.join(first, ["h", "line"]).where(F.col("rid") != F.col("first.rid"))
-                   .select("line", "doc_id", "rid", *place(F.col("at")),
-                           F.nullif(F.col("first.id"), F.lit(2**63 - 1)).alias("kept_doc_id")))
-    # Pieces that follow each other without a gap are one run.
+             .select(F.coalesce("component", "h").alias("h"), "doc_id", "rid", "at"))
+    windows = passage_windows(rows, own)
+    extra = _extra(windows, "start")
+    # Windows that overlap or follow each other without a gap are one run.
     order = Window.partitionBy("rid", "doc_id").orderBy("start")
-    apart = F.col("start") != F.lag(F.col("start") + F.col("n"), 1, -1).over(order)
-    runs = (extra.where(~F.col("line")).withColumn("_new", apart.cast("int"))
+    apart = F.col("start") > F.lag("start", 1, -1 - MIN_PASSAGE).over(order) + F.lit(MIN_PASSAGE)
+    runs = (extra.withColumn("_new", apart.cast("int"))
             .withColumn("_run", F.sum("_new").over(order))
             .groupBy("rid", "doc_id", "_run").agg(
-                F.min("start").alias("start_word"), F.sum("n").alias("n_words"),
+                F.min("start").alias("start_word"),
+                (F.max("start") + F.lit(MIN_PASSAGE) - F.min("start")).alias("n_words"),
                 F.min("kept_doc_id").alias("kept_doc_id"))
-            .where(F.col("n_words") >= MIN_PASSAGE)
             .select("doc_id", "rid", F.lit("passage").alias("kind"), "start_word", "n_words", "kept_doc_id"))
-    whole = extra.where("line").select(
+    copies = _extra(lines, *place(F.col("at")))
+    whole = copies.select(
         "doc_id", "rid", F.lit("paragraph").alias("kind"), F.col("start").alias("start_word"),
         F.col("n").alias("n_words"), "kept_doc_id")
     out = stored(runs.unionByName(whole))
-    release(own, near, copies, first, extra)
+    release(own, near, windows, copies, extra)
     return out
 
 
