@@ -111,3 +111,22 @@ def test_passages_of_twenty_words_are_found_to_the_word(spark, make_docs):
     for i, t, _, _ in rows:
         a, n, _ = planted.get(i, (0, 0, None))
         assert left[i].split() == t.split()[:a] + t.split()[a + n:]
+
+
+def test_short_lines_and_hard_wrapped_paragraphs_are_units(spark, make_docs):
+    rng = random.Random(9)
+    block, line = words(rng, 240), " ".join(words(rng, 10))
+    wrap = lambda w: "\n".join(" ".join(w[i:i + 12]) for i in range(0, len(w), 12))
+    rows, own = [], {}
+    for i in range(4):                                    # near copies: a word in 60 differs
+        w = list(block)
+        for at in range(7 * i, 240, 60) if i else ():
+            w[at] = f"edit{i}x{at}"
+        own[i] = rng.randint(30, 50)
+        rows.append((i, " ".join(words(rng, own[i])) + "\n \n" + wrap(w) + "\n\n" + wrap(words(rng, 30)), "en", "a"))
+    rows += [(10 + i, " ".join(words(rng, 30)) + "\n" + line + "\n" + " ".join(words(rng, 30)), "en", "a")
+             for i in range(2)]
+    found = {(r.doc_id, r.start_word, r.n_words, r.kept_doc_id)
+             for r in substrings.repeated_passages(make_docs(rows)).collect() if r.kind == "paragraph"}
+    assert {(i, own[i], 240, 0) for i in (1, 2, 3)} <= found
+    assert {x for x in found if x[0] >= 10} == {(11, 30, 10, 10)}

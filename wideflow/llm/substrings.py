@@ -1,7 +1,8 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash bands.
 
-A document falls into two kinds of units.  Paragraphs are its lines of at least
-``MIN_PARAGRAPH`` words; they have nine bands of four MinHashes each over the
+A document falls into two kinds of units.  Paragraphs are its lines and its
+blocks (the lines up to a blank one, joined) of at least one five-word shingle;
+they have nine bands of four MinHashes each over the
 five-word shingles, so two paragraphs of Jaccard similarity 0.8 collide with
 probability 1 - (1 - 0.8 ** 4) ** 9 = 0.991, and two that share a third of
 their shingles with 0.1.  Colliding paragraphs are verified by
@@ -31,7 +32,7 @@ from .common import (_P, _Q, _power_table, digest, mix, pick, position, shingle_
 from .components import bucket_links, connected_components
 
 SHINGLE, JACCARD, BANDS, ROWS = 5, 0.8, 9, 4
-MIN_PARAGRAPH, MIN_PASSAGE, SEED = 25, 20, 8
+MIN_PASSAGE, SEED = 20, 8
 
 #: A unit: hash of its words, document, place (first word * 2**24 + words), bands.
 UNIT = "h long, doc_id long, rid long, at long, k array<long>"
@@ -77,6 +78,8 @@ class Texts:
             self.dead[a:b] = False
         breaks = np.flatnonzero(raw == 10)
         self.line_word = np.searchsorted(start, breaks)  # first word after each line end
+        # line ends without a word between them: a blank line
+        self.block_word = self.line_word[1:][self.line_word[1:] == self.line_word[:-1]]
 
     def windows(self):
         """(first word in the batch, seed) of every ``MIN_PASSAGE`` words in a
@@ -110,11 +113,14 @@ class Texts:
         return text, a - self.first[text], b - a, h
 
     def paragraphs(self):
-        """(text, first word, words, hash, band keys) of the long lines."""
-        bounds = np.unique(np.concatenate((self.first, self.last, self.line_word)))
-        a, b = bounds[:-1], bounds[1:]
+        """(text, first word, words, hash, band keys) of the lines and blocks."""
+        spans = []
+        for ends in (self.line_word, self.block_word):
+            bounds = np.unique(np.concatenate((self.first, self.last, ends)))
+            spans.append(np.stack((bounds[:-1], bounds[1:]), axis=1))
+        a, b = np.unique(np.concatenate(spans), axis=0).T   # a block of one line is that line
         text = np.searchsorted(self.first, a, "right") - 1
-        ok = (text >= 0) & (b - a >= MIN_PARAGRAPH)
+        ok = (text >= 0) & (b - a >= SHINGLE)
         a, b, text = a[ok], b[ok], text[ok]
         inside = b <= self.last[text]
         a, b, text = a[inside], b[inside], text[inside]
@@ -300,8 +306,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     words (counted over the whole text, white space apart) of each document
     that repeat text of the document kept_doc_id, which keeps it.
 
-    Kind 'paragraph': a line of at least 25 words, equal or of Jaccard
-    similarity 0.8 to others; kind 'passage': at least 20 words in a row, each of
+    Kind 'paragraph': a line or a block of lines up to a blank one, of at least
+    five words, equal or of Jaccard similarity 0.8 to others; kind 'passage': at least 20 words in a row, each of
     them within 20 words in a row that an earlier document has too.  Only repeats across documents count;
     rows equal in id and text are one document.  A class stays in its smallest
     doc_id (NULL last), ties by a hash of the text.  NULL and empty texts have
