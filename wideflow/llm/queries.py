@@ -19,7 +19,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity and verdict of all documents; model of all trusted ones."""
     return quality.classify(documents(spark, sf_dir, "doc_id", "text", "lang"),
-                            table(spark, sf_dir, "labels")).drop("key")
+                            table(spark, sf_dir, "labels"), order=quality.LONGEST).drop("key")
 
 
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
