@@ -14,6 +14,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 #: Paths of stored intermediate tables, with the session that wrote them.
 _kept: dict[str, weakref.ref] = {}
+#: Names of those that are bucketed tables of the session's catalog.
+_tables: dict[str, str] = {}
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None,
@@ -74,7 +76,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wideflow-tables/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, spread: bool = False, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Compute ``df`` once, store it as Parquet in the shared checkpoint
     folder and return a DataFrame that scans the stored copy.
 
@@ -88,20 +95,35 @@ def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     ``spread`` deals the rows out over all cores, or the session's number of
     shuffle partitions if that is more; use it before a fan-out (e.g. one copy
     per seed), so that this does not run in a handful of tasks.
+    ``partition_by``: columns by whose values readers select whole folders.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/wideflow-tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     if spread:
         df = df.repartition(max(spark.sparkContext.defaultParallelism,
                                 int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     out = spark.read.parquet(path)
     out.wideflow_path = path
     _kept[path] = weakref.ref(spark)
     return out
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """``df`` stored in the shared checkpoint folder as a table of ``buckets``
+    buckets by ``keys``, one sorted file each: joins and aggregations of such
+    tables by their keys need no shuffle."""
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    name = f"wideflow_{os.path.basename(path)}"
+    (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name))
+    out = spark.table(name)
+    out.wideflow_path = path
+    _kept[path], _tables[path] = weakref.ref(spark), name
+    return out
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the stored copies behind frames that :func:`materialize` returned
     and that nothing reads any more."""
@@ -113,6 +135,8 @@ def release(*frames: DataFrame) -> None:
 
 def _delete(spark: SparkSession, path: str) -> None:
     _kept.pop(path, None)
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
