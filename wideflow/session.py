@@ -103,7 +103,8 @@ def materialize(df: DataFrame, spread: bool = False, partition_by: tuple[str, ..
         df = df.repartition(max(spark.sparkContext.defaultParallelism,
                                 int(spark.conf.get("spark.sql.shuffle.partitions"))))
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    out = spark.read.parquet(path)
+    # the schema is given, as an empty partitioned table has no file to tell it
+    out = (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
     out.wideflow_path = path
     _kept[path] = weakref.ref(spark)
     return out
