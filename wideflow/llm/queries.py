@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import licenses, mixing, quality, rules, shard, simhash, substrings, tokens, topk
-from .common import documents, table
+from . import (codes, licenses, lines, mixing, quality, rules, shard, simhash, substrings, tokens, topk,
+               whitening)
+from .common import documents, ship, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,38 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "kept_doc_id", "kind", "start_word", "n_words")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten documents or more have."""
+    kept = lines.drop_common_lines(documents(spark, sf_dir, "doc_id", "text"), 10, 1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors: 4 parts, 256 entries each, 4 rounds."""
+    ship(spark)
+    coded, books, dims = codes.compress(table(spark, sf_dir, "embeddings"), 4, 256, 4)
+    return codes.label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(codes.digest(books, dims)).alias("codebooks_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the 8 largest components of their covariance, whitened."""
+    ship(spark)
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, md5(text) AS h, string_split(coalesce(text, ''), chr(10)) AS ls
+           FROM documents),
+l AS (SELECT rid, doc_id, h, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM (SELECT DISTINCT key, doc_id, h FROM k WHERE length(key) >= 1) x GROUP BY key HAVING count(*) >= 10)
+SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.rid, k.doc_id"""
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
@@ -185,9 +218,13 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
         "op10_repeated_passages": op10_repeated_passages,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_whitening": op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_hamming_topk": OP7_SQL, "op8_quality_rules": _op8_sql(), "op9_mix_sources": OP9_SQL}
+    return {"op7_hamming_topk": OP7_SQL, "op8_quality_rules": _op8_sql(), "op9_mix_sources": OP9_SQL,
+            "op11_line_dedup": OP11_SQL}
