@@ -128,6 +128,6 @@ def test_io_round_trip_and_variants(spark):
 
 
 def test_rfe_svm_form(signal):
-    out = se.rfe_cv(signal, ["a", "b", "c"], "y", "fold", max_iter=5).collect()
+    out = se.rfe_cv(signal, ["a", "b", "c"], "y", "fold").collect()
     assert sorted(r["n_features"] for r in out) == [1, 2, 3]
     assert sum(1 for r in out if r["selected"]) == 1

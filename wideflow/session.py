@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -76,6 +77,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, unless it is installed
+    for them (on PYTHONPATH) already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_wideflow_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="wideflow-py-"), "wideflow"),
+                                  "zip", root, "wideflow")
+    sc.addPyFile(archive)
+    sc._wideflow_shipped = True
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new folder name in the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wideflow-tables/{uuid.uuid4().hex}"
