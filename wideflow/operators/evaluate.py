@@ -255,43 +255,50 @@ def thresholds_below(score: Column) -> Column:
     return (c + F.when(up, 1).otherwise(0) - F.when(down, 1).otherwise(0)).cast("int")
 
 
-def threshold_sweep(df: DataFrame, label: str, score: str, fold: str = "fold") -> DataFrame:
-    """THR-1: (fold, threshold_idx, threshold, roc_auc) for 980 thresholds.
+def threshold_sweep(df: DataFrame, label: str, score: str, fold: str = "fold", by=()) -> DataFrame:
+    """THR-1: (by..., fold, threshold_idx, threshold, roc_auc) for 980 thresholds.
 
     ROC AUC of the binarised prediction ``score > t`` equals (TPR + TNR) / 2.
     Each row is counted once under the number of thresholds below its score;
     a reversed running sum over at most 981 buckets per fold gives all 980
     confusion matrices, so the rows are never multiplied by the grid.
     """
+    g = [*_by(by), "fold"]
     n = THRESHOLD_INDEX_MAX + 1
     d = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     k = thresholds_below(F.col(score).cast("double"))
-    counts = materialize(d.groupBy(F.col(fold).alias("fold"), k.alias("k")).agg(
+    counts = materialize(d.groupBy(*_by(by), F.col(fold).alias("fold"), k.alias("k")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")))
-    folds = counts.groupBy("fold").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    grid = folds.select("fold", "__p", "__n", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
-    dense = grid.join(counts, on=["fold", "k"], how="left").fillna(0, subset=["pos", "neg"])
-    w = Window.partitionBy("fold").orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    dense = dense.select("fold", "k", "__p", "__n",
+    folds = counts.groupBy(*g).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    grid = folds.select(*g, "__p", "__n", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
+    dense = grid.join(counts, on=[*g, "k"], how="left").fillna(0, subset=["pos", "neg"])
+    w = Window.partitionBy(*g).orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    dense = dense.select(*g, "k", "__p", "__n",
                          F.coalesce(F.sum("pos").over(w), F.lit(0)).alias("tp"),
                          F.coalesce(F.sum("neg").over(w), F.lit(0)).alias("fp"))
     dense = dense.where(F.col("k") < n)
     tpr = ratio("tp", "__p")
     tnr = ratio(F.col("__n") - F.col("fp"), "__n")
-    return dense.select("fold", F.col("k").alias("threshold_idx"),
+    return dense.select(*g, F.col("k").alias("threshold_idx"),
                         threshold_value(F.col("k")).alias("threshold"),
                         ((tpr + tnr) / 2).alias("roc_auc"))
 
 
-def threshold_avg(sweep: DataFrame) -> DataFrame:
+def threshold_avg(sweep: DataFrame, by=()) -> DataFrame:
     """THR-2: mean over folds, skipping NULL folds."""
-    return sweep.groupBy("threshold_idx", "threshold").agg(F.avg("roc_auc").alias("avg_roc_auc"))
-
-
-def best_threshold(avg: DataFrame) -> DataFrame:
-    """THR-3: first maximum (lowest index among ties; NULL averages ignored)."""
-    return (avg.where(F.col("avg_roc_auc").isNotNull())
-               .orderBy(F.col("avg_roc_auc").desc(), F.col("threshold_idx").asc()).limit(1))
+    return sweep.groupBy(*_by(by), "threshold_idx", "threshold").agg(F.avg("roc_auc").alias("avg_roc_auc"))
+
+
+def best_threshold(avg: DataFrame, by=()) -> DataFrame:
+    """THR-3: first maximum (lowest index among ties; NULL averages ignored),
+    for every group of ``by``.  Averages that agree to 12 digits are ties: the
+    order in which folds are summed must not decide."""
+    order = [F.round("avg_roc_auc", 12).desc(), F.col("threshold_idx").asc()]
+    known = avg.where(F.col("avg_roc_auc").isNotNull())
+    if not _by(by):
+        return known.orderBy(*order).limit(1)
+    first = Window.partitionBy(*_by(by)).orderBy(*order)       # a grid's size
+    return known.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n")
 
 
 def threshold_pivot(sweep: DataFrame, folds: Sequence[int]) -> DataFrame:

@@ -99,16 +99,18 @@ def fold_auc(pred: DataFrame, label: str, score: str = P1, by: Sequence[str] = (
 def cv_scores(pipeline: Pipeline, df: DataFrame, label: str, fold: str = "fold") -> DataFrame:
     """CV-1: (fold, auc): refit on the other folds, score the held-out fold.
 
-    The held-out predictions of all folds are unioned and scored in one
-    grouped AUC job.
+    The features are assembled and stored once, the folds are fitted side by
+    side, and the held-out scores are one table with one grouped AUC job.
     """
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    preds = None
-    for k in folds:
-        m = pipeline.fit(df.where(F.col(fold) != k))
-        p = predict(m, df.where(F.col(fold) == k)).select(fold, label, P1)
-        preds = p if preds is None else preds.unionByName(p)
-    return fold_auc(preds, label, P1, [fold])
+    from wideflow.operators import oof
+    *prepare, est = pipeline.getStages()
+    for stage in prepare:
+        df = stage.transform(df)
+    weight = est.getOrDefault("weightCol") if est.hasParam("weightCol") and est.isSet("weightCol") else None
+    keep = [fold, label, FEATURES_COL, *([weight] if weight else [])]
+    data = materialize(df.select(*keep).withColumn("__id", F.lit(None).cast("long")), spread=True)
+    return oof.fold_aucs(oof.out_of_fold(data, {"": est}, "__id", label, fold)).select(
+        F.col("fold").alias(fold), "auc")
 
 
 def score_summary(scores: DataFrame, value: str = "auc", by: Sequence[str] = ("model",)) -> DataFrame:

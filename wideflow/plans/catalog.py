@@ -11,6 +11,7 @@ _MODULES = [
     "wideflow.plans.q_models",
     "wideflow.plans.q_select",
     "wideflow.plans.q_explain",
+    "wideflow.plans.q_threshold",
 ]
 
 

@@ -95,7 +95,8 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wideflow-tables/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, spread: bool = False, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, spread: bool = False, partition_by: tuple[str, ...] = (),
+                **options: str) -> DataFrame:
     """Compute ``df`` once, store it as Parquet in the shared checkpoint
     folder and return a DataFrame that scans the stored copy.
 
@@ -110,13 +111,14 @@ def materialize(df: DataFrame, spread: bool = False, partition_by: tuple[str, ..
     shuffle partitions if that is more; use it before a fan-out (e.g. one copy
     per seed), so that this does not run in a handful of tasks.
     ``partition_by``: columns by whose values readers select whole folders.
+    ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
     if spread:
         df = df.repartition(max(spark.sparkContext.defaultParallelism,
                                 int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    df.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(path)
     # the schema is given, as an empty partitioned table has no file to tell it
     out = (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
     out.wideflow_path = path
@@ -124,14 +126,15 @@ def materialize(df: DataFrame, spread: bool = False, partition_by: tuple[str, ..
     return out
 
 
-def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], buckets: int, **options: str) -> DataFrame:
     """``df`` stored in the shared checkpoint folder as a table of ``buckets``
     buckets by ``keys``, one sorted file each: joins and aggregations of such
-    tables by their keys need no shuffle."""
+    tables by their keys need no shuffle.  ``options`` go to the Parquet writer."""
     spark = df.sparkSession
     path = scratch_path(spark)
     name = f"wideflow_{os.path.basename(path)}"
     (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet")
+     .options(**options)
      .bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name))
     out = spark.table(name)
     out.wideflow_path = path
