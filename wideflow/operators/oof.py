@@ -13,11 +13,11 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wideflow.operators import boost
 from wideflow.operators import evaluate as ev
 from wideflow.operators import models as md
 from wideflow.session import materialize
@@ -35,9 +35,11 @@ def side_by_side(tasks: Sequence[Callable], parallelism: int = PARALLEL) -> list
         return pool.map(lambda t: t(), tasks, chunksize=1)
 
 
-def assembled(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """The columns ``keep`` and the feature vector, stored once for all fits."""
-    asm = VectorAssembler(inputCols=list(features), outputCol=md.FEATURES_COL, handleInvalid="error")
+def assembled(df: DataFrame, features: Sequence[str], keep: Sequence[str], gaps: bool = False) -> DataFrame:
+    """The columns ``keep`` and the feature vector, stored once for all fits.
+    Missing cells raise, or stay as NaN with ``gaps``."""
+    asm = VectorAssembler(inputCols=list(features), outputCol=md.FEATURES_COL,
+                          handleInvalid="keep" if gaps else "error")
     return materialize(asm.transform(df).select(*keep, md.FEATURES_COL), spread=True)
 
 
@@ -46,19 +48,34 @@ def out_of_fold(data: DataFrame, estimators: Mapping[str, object], id_col: str,
     """The out-of-fold score table of ``estimators`` (name -> estimator on the
     column of assembled features) over ``data`` (see :func:`assembled`)."""
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())
+    jobs = [(n, k) for n in estimators for k in folds]
+    models = fit_jobs(data, [(estimators[n], k) for n, k in jobs], fold, parallelism)
+    return materialize(reduce(DataFrame.unionByName, [
+        _scored(m, data.where(F.col(fold) == k), n, id_col, label, fold) for (n, k), m in zip(jobs, models, strict=True)]))
+
+
+def fit_jobs(data: DataFrame, jobs: Sequence[tuple[object, int | None]], fold: str | None = None,
+             parallelism: int = PARALLEL) -> list:
+    """One model per job (estimator, the fold it leaves out or None): boosted
+    trees grow in lock step over one store, others are fitted side by side."""
+    out: list = [None] * len(jobs)
+    boosted = [i for i, (e, _) in enumerate(jobs) if isinstance(e, boost.Boosting)]
+    if boosted:
+        for i, m in zip(boosted, boost.fit_many(data, [jobs[i] for i in boosted], fold), strict=True):
+            out[i] = m
+    rest = [i for i in range(len(jobs)) if out[i] is None]
 
-    def one(name, est, k):
-        model = est.fit(data.where(F.col(fold) != k))
-        return _scored(model, data.where(F.col(fold) == k), name, id_col, label, fold)
+    def task(est, k):
+        return lambda: est.fit(data if k is None else data.where(F.col(fold) != k))
 
-    parts = side_by_side([lambda n=n, e=e, k=k: one(n, e, k) for n, e in estimators.items() for k in folds],
-                         parallelism)
-    return materialize(reduce(DataFrame.unionByName, parts))
+    for i, m in zip(rest, side_by_side([task(*jobs[i]) for i in rest], parallelism), strict=True):
+        out[i] = m
+    return out
 
 
 def fitted(data: DataFrame, estimators: Mapping[str, object], parallelism: int = PARALLEL) -> dict:
     """name -> model fitted on all of ``data``."""
-    models = side_by_side([lambda e=e: e.fit(data) for e in estimators.values()], parallelism)
+    models = fit_jobs(data, [(e, None) for e in estimators.values()], None, parallelism)
     return dict(zip(estimators, models, strict=True))
 
 
