@@ -37,6 +37,8 @@ HEAVY = 10_000
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASH = ["a", "b"]
+#: Hashes do not compress, and codecs cost memory outside the heap for every file.
+PLAIN = {"compression": "none"}
 
 
 def lines_of(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
@@ -73,7 +75,7 @@ class LineRuns:
                   .groupBy(*HASH).agg(F.count(F.lit(1)).alias("docs")))
         for run in self.runs():
             counts = counts.join(self._settled(run), HASH, "left_anti")
-        self._put(0, bucketed(counts, HASH, self.buckets))
+        self._put(0, bucketed(counts, HASH, self.buckets, **PLAIN))
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -81,7 +83,7 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            merged = bucketed(_merged(runs), HASH, self.buckets)
+            merged = bucketed(_merged(runs), HASH, self.buckets, **PLAIN)
             release(*runs)
             self._put(level + 1, merged)
 
@@ -148,7 +150,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     id; a NULL or empty text is one empty line and comes back as ''.  Columns
     but doc_id and text are not read.  An empty table gives an empty result.
     """
-    lines = materialize(lines_of(docs, batches, min_chars), partition_by=("batch",))
+    lines = materialize(lines_of(docs, batches, min_chars), partition_by=("batch",), **PLAIN)
     common = common_lines(lines, min_docs, batches)
     gone = dropped_positions(lines, common).select(
         F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "gone")
