@@ -36,11 +36,7 @@ def test_models_learn_signal(signal):
         assert mean > 0.8, (kind, mean)
 
 
-def test_search_and_stacking(signal):
-    space = {"regParam": (1e-4, 1e-1), "elasticNetParam": [0.0, 1.0]}
-    assert md.draw_params(space, 3, 11) == md.draw_params(space, 3, 11)
-    model, table = md.search("lr", space, signal, ["a", "b", "c"], "y", "fold", n_iter=2, seed=11)
-    assert table.count() == 2
+def test_stacking(signal):
     bases = {"lr": md.make_model("lr", ["a", "b", "c"], "y", {"regParam": 1e-3}),
              "rf": md.make_model("rf", ["a", "b", "c"], "y", {"numTrees": 5})}
     st = md.StackingClassifier(bases, "y", "fold").fit(signal)

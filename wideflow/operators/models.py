@@ -1,5 +1,5 @@
-"""MDL-1..5, CV-1, HPO-1, SCO-1..2, AGG-7: Spark ML classifiers, search,
-cross-validation, stacking and score tables.
+"""MDL-1, 2, 4, 5, CV-1, SCO-1..2, AGG-7: Spark ML classifiers,
+cross-validation, stacking and score tables (MDL-3 is in ``boost``, HPO-1 in ``search``).
 
 Models are ``pyspark.ml`` pipelines (VectorAssembler + estimator); every fit
 is a distributed job.  The driver only loops over folds, trials and base
@@ -10,15 +10,12 @@ binned default).
 
 from __future__ import annotations
 
-import hashlib
-import math
 from typing import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,52 +131,6 @@ def best_model(scores: DataFrame, metric: str = "test_auc", by: str = "model") -
     return scores.orderBy(F.col(metric).desc_nulls_last(), F.col(by)).limit(1)
 
 
-# ------------------------------------------------------------------ HPO-1
-def _u(seed: int, trial: int, name: str) -> float:
-    h = hashlib.md5(f"{seed}:{trial}:{name}".encode()).hexdigest()
-    return int(h[:13], 16) / float(16 ** 13)
-
-
-def draw_params(space: Mapping, n_iter: int, seed: int) -> list[dict]:
-    """Seeded random draws: a 2-tuple of numbers or ``(lo, hi, 'uniform')`` is
-    a range, a ``(lo, hi, 'int')`` an integer range, any list a category set."""
-    out = []
-    for t in range(n_iter):
-        d = {}
-        for name, dom in space.items():
-            u = _u(seed, t, name)
-            if isinstance(dom, tuple) and len(dom) >= 2 and all(isinstance(v, (int, float)) for v in dom[:2]):
-                lo, hi = dom[0], dom[1]
-                kind = dom[2] if len(dom) > 2 else "uniform"
-                d[name] = int(lo + math.floor(u * (hi - lo + 1))) if kind == "int" else lo + u * (hi - lo)
-            else:
-                vals = list(dom)
-                d[name] = vals[min(int(u * len(vals)), len(vals) - 1)]
-        out.append(d)
-    return out
-
-
-def search(kind: str, space: Mapping, df: DataFrame, features: Sequence[str], label: str,
-           fold: str = "fold", n_iter: int = 10, seed: int = 11, weight_col: str | None = None):
-    """HPO-1: seeded random search scored by k-fold ROC AUC; the best
-    parameters are refit on all rows.  Returns (best model, trials table)."""
-    spark = df.sparkSession
-    trials = draw_params(space, n_iter, seed)
-    rows = []
-    for i, params in enumerate(trials):
-        pipe = make_model(kind, features, label, params, seed, weight_col)
-        auc = cv_scores(pipe, df, label, fold)
-        rows.append(auc.select(F.lit(i).alias("trial"), F.lit(repr(sorted(params.items()))).alias("params"),
-                               "fold", "auc"))
-    long = rows[0]
-    for r in rows[1:]:
-        long = long.unionByName(r)
-    table = materialize(long.groupBy("trial", "params").agg(F.avg("auc").alias("mean_auc")))
-    best = table.orderBy(F.col("mean_auc").desc_nulls_last(), F.col("trial")).first()
-    best_model = make_model(kind, features, label, trials[best["trial"]], seed, weight_col).fit(df)
-    return best_model, table
-
-
 # ------------------------------------------------------------------ MDL-5
 class StackingModel:
     def __init__(self, bases, final, names):

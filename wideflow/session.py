@@ -91,8 +91,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder name in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wideflow-tables/{uuid.uuid4().hex}"
+    """A new folder name in the shared checkpoint folder; what is written there is
+    deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wideflow-tables/{uuid.uuid4().hex}"
+    _kept[path] = weakref.ref(spark)
+    return path
 
 
 def materialize(df: DataFrame, spread: bool = False, partition_by: tuple[str, ...] = (),
@@ -122,7 +125,6 @@ def materialize(df: DataFrame, spread: bool = False, partition_by: tuple[str, ..
     # the schema is given, as an empty partitioned table has no file to tell it
     out = (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
     out.wideflow_path = path
-    _kept[path] = weakref.ref(spark)
     return out
 
 
@@ -138,7 +140,7 @@ def bucketed(df: DataFrame, keys: list[str], buckets: int, **options: str) -> Da
      .bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name))
     out = spark.table(name)
     out.wideflow_path = path
-    _kept[path], _tables[path] = weakref.ref(spark), name
+    _tables[path] = name
     return out
 
 
