@@ -12,6 +12,7 @@ _MODULES = [
     "wideflow.plans.q_select",
     "wideflow.plans.q_explain",
     "wideflow.plans.q_threshold",
+    "wideflow.plans.q_sinks",
 ]
 
 
