@@ -1,5 +1,6 @@
 """IMP, SCL: fills, variants, iterative imputation, scaling."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,69 @@ def test_iterative_linear_closed_form(spark):
     assert out.where("a IS NULL OR b IS NULL").count() == 0
 
 
+def _gappy(spark, n=300, cols=5):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, cols)) @ rng.normal(size=(cols, cols)) + 3
+    x[rng.random((n, cols)) < 0.15] = np.nan
+    x[:, 0] = np.where(np.isnan(x[:, 0]), 1.5, x[:, 0])          # one complete column
+    names = [f"c{i}" for i in range(cols)]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    return x, names, spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in names))
+
+
+def _rounds_by_rows(x, rounds):
+    """Round-robin least squares, row by row, as the reference library goes about it."""
+    gone = np.isnan(x)
+    x = np.where(gone, np.nanmean(x, axis=0), x)
+    order = sorted([j for j in range(x.shape[1]) if gone[:, j].any()], key=lambda j: gone[:, j].sum())
+    for _ in range(rounds):
+        for j in order:
+            others = [k for k in range(x.shape[1]) if k != j]
+            z = np.column_stack((np.ones(len(x)), x[:, others]))
+            w = np.linalg.lstsq(z[~gone[:, j]], x[~gone[:, j], j], rcond=None)[0]
+            x[gone[:, j], j] = z[gone[:, j]] @ w
+    return x
+
+
+@pytest.mark.parametrize("reg", [0.0, 0.05])
+def test_linear_rounds_by_pattern_equal_rounds_by_rows(spark, monkeypatch, reg):
+    x, names, d = _gappy(spark)
+    run = lambda: im.IterativeImputer(names, im.linear_estimator(reg), max_iter=4, tol=0.0).fit(d)
+    one = run()
+    got = np.array([[r[c] for c in names] for r in one.fitted_.orderBy("id").collect()])
+    assert one.n_iter == 4
+    if not reg:
+        assert np.allclose(got, _rounds_by_rows(x, 4), atol=1e-7)
+    monkeypatch.setattr(im, "PATTERN_NUMBERS", 0)
+    two = run()
+    rows = np.array([[r[c] for c in names] for r in two.fitted_.orderBy("id").collect()])
+    assert np.allclose(got, rows, atol=1e-7)
+    again = np.array([[r[c] for c in names] for r in two.transform(d).orderBy("id").collect()])
+    assert np.allclose(got, again, atol=1e-7)
+
+
+def test_both_ways_stop_at_the_same_round(spark, monkeypatch):
+    _, names, d = _gappy(spark, 120, 3)
+    run = lambda: im.IterativeImputer(names, im.linear_estimator(), max_iter=10, tol=1e-2).fit(d).n_iter
+    a = run()
+    monkeypatch.setattr(im, "PATTERN_NUMBERS", 0)
+    assert 1 < a < 10 and a == run()
+
+
+def test_linear_imputation_of_many_columns(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(200, 4))
+    x = base @ rng.normal(size=(4, 30))
+    x[rng.random(x.shape) < 0.02] = np.nan
+    names = [f"c{i}" for i in range(30)]
+    d = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)],
+                              "id int, " + ", ".join(f"{c} double" for c in names))
+    out = im.IterativeImputer(names, im.linear_estimator(), max_iter=6).fit_transform(d)
+    got = np.array([[r[c] for c in names] for r in out.orderBy("id").collect()])
+    known = ~np.isnan(x)
+    assert np.array_equal(got[known], x[known]) and not np.isnan(got).any()
+
+
 def test_iterative_gbt_runs_and_keeps_known(spark):
     rows = [(i, float(i % 7), float(i % 5), None if i % 6 == 0 else float(i % 7 + i % 5)) for i in range(60)]
     d = spark.createDataFrame(rows, "id int, a double, b double, c double")

@@ -17,14 +17,18 @@ from __future__ import annotations
 
 from typing import Callable, Iterable, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wideflow.functions.cross import cross_products, matrices, matrix
 from wideflow.functions.ranking import ordered_scan
-from wideflow.session import cut_lineage
+from wideflow.session import cut_lineage, ship_package
 
 STRATEGIES = ("mean", "median", "mode")
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -170,9 +174,10 @@ def gbt_estimator(n_trees: int = 100, step: float = 0.1, depth: int = 3) -> Esti
 
 
 def linear_estimator(reg: float = 0.0) -> EstimatorFactory:
-    """Least squares with intercept.  The imputer solves it from one
-    aggregation of cross-products per column step (``LinearRegression``
-    with the same settings gives the same fit, at several passes each)."""
+    """Least squares with intercept.  The imputer solves it from sums of products
+    per missingness pattern, or from one pass per column step where patterns are
+    too many (``LinearRegression`` with the same settings gives the same fit, at
+    several passes each)."""
     def make(features: str, label: str, seed: int):
         return LinearRegression(featuresCol=features, labelCol=label, predictionCol="__pred",
                                 regParam=reg, standardization=False)
@@ -194,43 +199,127 @@ class LinearFit:
         return e
 
 
-def _least_squares(df: DataFrame, target: str, feats: Sequence[str], reg: float = 0.0) -> LinearFit:
-    """One pass: sums of x_i x_j, x_i y, x_i, y and the count; then a
-    (p+1) x (p+1) solve on the driver (bounded by the column count)."""
-    import numpy as np
-    names = list(feats)
-    p = len(names)
-    if p > 24:
-        # Wide: cross-products through the exploded Gram pass (small plan).
-        from wideflow.operators.selection import gram_stats, _stats_arrays
-        S = _stats_arrays(gram_stats(df.withColumn("__g", F.lit(0)), names, target, "__g").collect(), names)[0]
-        order = [p + 1] + list(range(p))          # [1, x...] against [y]
-        A = S[np.ix_(order, order)]
-        v = S[order, p]
-        if reg:
-            A[1:, 1:] += reg * S[p + 1, p + 1] * np.eye(p)
-        sol = np.linalg.lstsq(A, v, rcond=None)[0]
-        return LinearFit(names, sol[1:].tolist(), sol[0])
-    sums = [F.count(F.lit(1)).alias("n"), F.sum(target).alias("sy")]
-    sums += [F.sum(f).alias(f"s{i}") for i, f in enumerate(names)]
-    sums += [F.sum(F.col(f) * F.col(target)).alias(f"sy{i}") for i, f in enumerate(names)]
-    sums += [F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(names)
-             for j, b in enumerate(names) if j >= i]
-    r = df.agg(*sums).first()
-    n = r["n"]
-    A = np.zeros((p + 1, p + 1))
-    v = np.zeros(p + 1)
-    A[0, 0] = n
-    v[0] = r["sy"] or 0.0
-    for i in range(p):
-        A[0, i + 1] = A[i + 1, 0] = r[f"s{i}"] or 0.0
-        v[i + 1] = r[f"sy{i}"] or 0.0
-        for j in range(i, p):
-            A[i + 1, j + 1] = A[j + 1, i + 1] = r[f"s{i}_{j}"] or 0.0
+def _solved(sums, target: int, feats: Sequence[int], reg: float = 0.0):
+    """(weights, intercept) of the least-squares fit of one column by others, from
+    the sums of products of [1, columns...]; the fit of least norm, if many fit."""
+    at = [0, *[f + 1 for f in feats]]
+    A = sums[np.ix_(at, at)].copy()
     if reg:
-        A[1:, 1:] += reg * n * np.eye(p)
-    sol = np.linalg.lstsq(A, v, rcond=None)[0]
-    return LinearFit(names, sol[1:].tolist(), sol[0])
+        A[1:, 1:] += reg * sums[0, 0] * np.eye(len(feats))
+    sol = np.linalg.lstsq(A, sums[at, target + 1], rcond=None)[0]
+    return sol[1:], float(sol[0])
+
+
+def _least_squares(df: DataFrame, target: str, feats: Sequence[str], reg: float = 0.0) -> LinearFit:
+    """One pass over the rows: sums of products, then a solve on the driver that is
+    bounded by the column count."""
+    cols = [*feats, target]
+    sums = matrices(cross_products(df, F.lit(0), [F.lit(1.0), *[F.col(c) for c in cols]]), len(cols) + 1)
+    w, b = _solved(sums[0], len(feats), range(len(feats)), reg)
+    return LinearFit(feats, w, b)
+
+
+#: Numbers (patterns x columns squared) that the driver may hold for linear
+#: imputation by missingness pattern; beyond it, every column step reads the rows.
+PATTERN_NUMBERS = 20_000_000
+
+
+def _pattern(order: Sequence[str]) -> Column:
+    """Which of the columns are missing, as a text of 0 and 1."""
+    return F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in order])
+
+
+def pattern_rounds(products: dict, cols: Sequence[str], order: Sequence[str], means: dict, reg: float,
+                   rounds: int) -> list:
+    """The column models of all rounds, from the sums of products of [1, columns...]
+    per missingness pattern (missing cells 0), without reading a row.
+
+    An imputed cell is a linear function of the row's observed ones, so a pattern
+    has one matrix that completes its rows, and the sums of products of completed
+    rows are that matrix applied to both sides of the pattern's sums.
+    """
+    p, at = len(cols), {c: i for i, c in enumerate(cols)}
+    whole = {}
+    for code in products:
+        t = np.eye(p + 1)
+        for c, flag in zip(order, code):
+            if flag == "1":
+                t[at[c] + 1] = 0.0
+                t[at[c] + 1, 0] = means[c]
+        whole[code] = t
+    completed = {code: whole[code] @ m @ whole[code].T for code, m in products.items()}
+    out = []
+    for _ in range(rounds):
+        models = []
+        for k, c in enumerate(order):
+            feats = [f for f in cols if f != c]
+            seen = sum((s for code, s in completed.items() if code[k] == "0"), np.zeros((p + 1, p + 1)))
+            w, b = _solved(seen, at[c], [at[f] for f in feats], reg)
+            models.append((c, LinearFit(feats, w, b), feats))
+            row = np.zeros(p + 1)
+            row[0] = b
+            row[[at[f] + 1 for f in feats]] = w
+            for code in products:
+                if code[k] == "1":
+                    whole[code][at[c] + 1] = row @ whole[code]
+                    completed[code] = whole[code] @ products[code] @ whole[code].T
+        out.append(models)
+    return out
+
+
+def replayed(x, cols: Sequence[str], order: Sequence[str], means: dict, rounds: list, changes: list | None = None):
+    """The rows (missing cells NaN) after the column models of all rounds; the
+    largest row sum of absolute changes of each round goes to ``changes``."""
+    at = {c: i for i, c in enumerate(cols)}
+    gone = {c: np.isnan(x[:, at[c]]) for c in order}
+    x = x.copy()
+    for c in order:
+        x[gone[c], at[c]] = means[c]
+    for r, models in enumerate(rounds):
+        before = x.copy() if changes is not None else None
+        for c, fit, feats in models:
+            rows = gone[c]
+            x[rows, at[c]] = x[np.ix_(rows, [at[f] for f in feats])] @ np.array(fit.weights) + fit.intercept
+        if changes is not None:
+            changes[r] = max(changes[r], float(np.abs(x - before).sum(axis=1).max(initial=0.0)))
+    return x
+
+
+def _numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+
+
+def round_changes(df: DataFrame, cols, order, means, rounds) -> list[float]:
+    """Largest change of each round, in one pass over the rows."""
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        most = [0.0] * len(rounds)
+        for b in batches:
+            if b.num_rows:
+                replayed(matrix(b.column("x"), b.num_rows), cols, order, means, rounds, most)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(most)), pa.int32()), pa.array(most)], names=["r", "d"])
+
+    got = _numbers(df, cols).mapInArrow(run, "r int, d double").groupBy("r").agg(F.max("d").alias("d")).collect()
+    out = [0.0] * len(rounds)
+    for r in got:
+        out[r["r"]] = r["d"]
+    return out
+
+
+def replay(df: DataFrame, cols, order, means, rounds) -> DataFrame:
+    """``df`` with the columns of ``cols`` completed, in one pass."""
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def complete(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return x
+        rows = np.array([[np.nan if v is None else v for v in r] for r in x], dtype=float)
+        return pd.Series(list(replayed(rows, cols, order, means, rounds)))
+
+    done = df.withColumn("__x", complete(F.array(*[F.col(c).cast("double") for c in cols])))
+    return done.select(*[F.col("__x")[cols.index(c)].alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 class IterativeImputerModel:
@@ -240,6 +329,9 @@ class IterativeImputerModel:
         self.cols, self.order, self.means, self.rounds, self.n_iter = cols, order, means, rounds, n_iter
 
     def transform(self, df: DataFrame) -> DataFrame:
+        usable = [c for c in self.cols if c in self.means]
+        if all(isinstance(m, LinearFit) for models in self.rounds for _, m, _ in models) and usable:
+            return replay(df, usable, [c for c in self.order], self.means, self.rounds)
         masks = {c: f"__m_{c}" for c in self.order}
         work = df.select("*", *[F.col(c).isNull().alias(masks[c]) for c in self.order])
         work = work.select(*[F.coalesce(F.col(c).cast("double"), F.lit(self.means[c])).alias(c)
@@ -267,9 +359,11 @@ class IterativeImputer:
     the rows where it was observed, and its missing cells are replaced by
     the prediction.  Stops after ``max_iter`` rounds or when the largest
     row-wise sum of absolute changes falls below ``tol`` times the largest
-    absolute observed value.  Every round is checkpointed to the shared
-    checkpoint folder, so lineage stays short and lost executors cost one
-    round at most.  The label and the row id must not be in ``cols``.
+    absolute observed value.  Linear rounds are solved from sums per missingness
+    pattern, with two passes over the rows in all.  Other rounds are checkpointed
+    to the shared checkpoint folder, so lineage stays short and lost executors
+    cost one round at most; so are linear ones where the patterns are too many
+    for the driver (``PATTERN_NUMBERS``).  The label and the row id must not be in ``cols``.
     """
 
     def __init__(self, cols: Sequence[str], estimator: EstimatorFactory | None = None,
@@ -289,6 +383,10 @@ class IterativeImputer:
         # Columns with no observed value cannot be modelled (IMP-7): passed through as they are.
         order = sorted([c for c in cols if missing[c] > 0 and c in means], key=lambda c: (missing[c], cols.index(c)))
         tol = self.tol * (stats["absmax"] or 0.0)
+        if order and getattr(self.estimator, "closed_form", False):
+            model = self._by_pattern(df, [c for c in cols if c in means], order, means, tol)
+            if model is not None:
+                return model
         masks = {c: f"__m_{c}" for c in order}
         work = df.select(*[F.col(c).cast("double").alias(c) if c in means else F.col(c) for c in df.columns],
                          *[F.col(c).isNull().alias(masks[c]) for c in order])
@@ -325,6 +423,22 @@ class IterativeImputer:
         model.fitted_ = work.drop(*masks.values())
         return model
 
+    def _by_pattern(self, df, usable, order, means, tol) -> IterativeImputerModel | None:
+        """Linear rounds from one pass of sums per missingness pattern, and one more
+        for the stopping test; None if the patterns are too many for the driver."""
+        code = _pattern(order)
+        patterns = df.select(code.alias("p")).distinct().count()
+        if patterns * (len(usable) + 1) ** 2 > PATTERN_NUMBERS:
+            return None
+        columns = [F.lit(1.0), *[F.col(c) for c in usable]]
+        products = matrices(cross_products(df, code, columns), len(columns))
+        rounds = pattern_rounds(products, usable, order, means, self.estimator.reg, self.max_iter)
+        changes = round_changes(df, usable, order, means, rounds)
+        last = next((i + 1 for i, d in enumerate(changes) if d < tol), len(rounds))
+        model = IterativeImputerModel(self.cols, order, means, rounds[:last], last)
+        model.fitted_ = model.transform(df)
+        return model
+
     def fit_transform(self, df: DataFrame) -> DataFrame:
         """The imputed table computed while fitting (no second pass)."""
         return self.fit(df).fitted_
