@@ -13,7 +13,7 @@ from wideflow.plans.runs import RunStore, ScoredRuns
 SPACES = {"lr": {"C": [0.1, 1.0], "class_weight": [None, "balanced"]},
           "rf": {"numTrees": [2, 4], "maxDepth": [2, 3]},
           "gbt": {"n_estimators": [2, 3], "max_depth": [1, 2], "subsample": (0.6, 1.0)},
-          "mlp": {"hidden": [3], "maxIter": [20], "stepSize": [0.03]}}
+          "mlp": {"hidden": [3], "max_iter": [20], "rate": [0.03], "activation": ["relu", "tanh"]}}
 
 
 @pytest.fixture(scope="module")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from wideflow.operators import boost
 from wideflow.operators import evaluate as ev
 from wideflow.operators import models as md
+from wideflow.operators import network
 from wideflow.session import materialize
 
 #: Fits that run at the same time.
@@ -57,11 +58,12 @@ def out_of_fold(data: DataFrame, estimators: Mapping[str, object], id_col: str,
 def fit_jobs(data: DataFrame, jobs: Sequence[tuple[object, int | None]], fold: str | None = None,
              parallelism: int = PARALLEL) -> list:
     """One model per job (estimator, the fold it leaves out or None): boosted
-    trees grow in lock step over one store, others are fitted side by side."""
+    trees, and networks, learn in lock step over one store; others are fitted side
+    by side."""
     out: list = [None] * len(jobs)
-    boosted = [i for i, (e, _) in enumerate(jobs) if isinstance(e, boost.Boosting)]
-    if boosted:
-        for i, m in zip(boosted, boost.fit_many(data, [jobs[i] for i in boosted], fold), strict=True):
+    for kind, fit_many in ((boost.Boosting, boost.fit_many), (network.Network, network.fit_many)):
+        own = [i for i, (e, _) in enumerate(jobs) if isinstance(e, kind)]
+        for i, m in zip(own, fit_many(data, [jobs[i] for i in own], fold) if own else []):
             out[i] = m
     rest = [i for i in range(len(jobs)) if out[i] is None]
 
