@@ -125,13 +125,12 @@ def _op8_sql() -> str:
         return f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} END"
 
     grid = ", ".join(f"('{r}', {c!r}::DOUBLE)" for r, (_, cuts) in rules.RULES.items() for c in cuts)
-    n_grid = sum(len(cuts) for _, cuts in rules.RULES.values())
-    rate = repr(rules.ALLOWED / len(rules.RULES)) + "::DOUBLE"
+    rate = repr(rules.ALLOWED) + "::DOUBLE"
     stats = " UNION ALL ".join(f"SELECT rid, stratum, '{r}' AS rule, {stat(r)} AS x FROM b WHERE NOT base_failed"
                                for r in rules.RULES)
     return rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
+  SELECT row_number() OVER () AS rid, doc_id, lang, md5(text) AS h, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 tri AS (
   SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
@@ -144,7 +143,7 @@ dup AS (
     SELECT rid, l, count(*) AS c FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) x
     WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid, l) y GROUP BY rid),
 f AS (
-  SELECT d.rid, doc_id, lang, CASE WHEN lang IS NULL THEN 'b' ELSE 'a' || lang END AS stratum,
+  SELECT d.rid, doc_id, lang, h, CASE WHEN lang IS NULL THEN 'b' ELSE 'a' || lang END AS stratum,
          CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
@@ -152,22 +151,36 @@ f AS (
   FROM d LEFT JOIN dup ON d.rid = dup.rid LEFT JOIN rep ON d.rid = rep.rid),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 s AS ({stats}),
-h AS (SELECT s.* FROM s JOIN b ON s.rid = b.rid WHERE b.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-n AS (SELECT stratum, count(DISTINCT rid) AS n FROM h GROUP BY stratum),
-j AS (SELECT stratum, n, unnest(range(0, n + 1)) AS j FROM n),
+g AS (
+  SELECT min(rid) AS rid, stratum, substr(h, 1, 1) < '8' AS design FROM b
+  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY stratum, h),
+h AS (SELECT s.*, g.design FROM s JOIN g ON s.rid = g.rid),
+nd AS (SELECT stratum, count(*) AS n FROM g WHERE design GROUP BY stratum),
+nt AS (SELECT stratum, count(*) AS n FROM g WHERE NOT design GROUP BY stratum),
+grid AS (SELECT * FROM (VALUES {grid}) v(rule, cut)),
+above AS (
+  SELECT nd.stratum, nd.n, grid.rule, cut, count(h.rid) AS c
+  FROM nd CROSS JOIN grid LEFT JOIN h ON h.design AND h.stratum = nd.stratum AND h.rule = grid.rule AND h.x > cut
+  GROUP BY nd.stratum, nd.n, grid.rule, cut),
+path AS (
+  SELECT stratum, step, rule, min(cut) AS cut FROM above, (SELECT unnest(range(0, {rules.STEPS + 1})) AS step) i
+  WHERE c <= floor(n * step * {rules.STRIDE!r}::DOUBLE + 1e-9::DOUBLE) GROUP BY stratum, step, rule),
+fails AS (
+  SELECT h.stratum, step, count(DISTINCT rid) AS c FROM h JOIN path ON h.stratum = path.stratum AND h.rule = path.rule
+  WHERE NOT design AND x > cut GROUP BY h.stratum, step),
+j AS (SELECT stratum, n, unnest(range(0, n + 1)) AS j FROM nt),
 cdf AS (
   SELECT stratum, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate})
                       + (n - j) * ln(1 - {rate}))) OVER (PARTITION BY stratum ORDER BY j) AS p FROM j),
 k AS (
-  SELECT stratum, count(*) FILTER (p <= {rules.MISTAKE!r}::DOUBLE / ((SELECT count(*) FROM n) * {n_grid})) - 1 AS k
+  SELECT stratum, count(*) FILTER (p <= {rules.MISTAKE!r}::DOUBLE / (SELECT count(DISTINCT stratum) FROM g)) - 1 AS k
   FROM cdf GROUP BY stratum),
-grid AS (SELECT * FROM (VALUES {grid}) v(rule, cut)),
-above AS (
-  SELECT h.stratum, h.rule, cut, count(*) FILTER (x > cut) AS c
-  FROM h JOIN grid ON h.rule = grid.rule GROUP BY h.stratum, h.rule, cut),
-cuts AS (
-  SELECT above.stratum, rule, min(cut) AS cut FROM above JOIN k ON above.stratum = k.stratum
-  WHERE c <= k GROUP BY above.stratum, rule),
+steps AS (
+  SELECT k.stratum, max(i.step) AS step FROM k JOIN nd ON k.stratum = nd.stratum
+  CROSS JOIN (SELECT unnest(range(0, {rules.STEPS + 1})) AS step) i
+  LEFT JOIN fails ON k.stratum = fails.stratum AND i.step = fails.step
+  WHERE coalesce(c, 0) <= k GROUP BY k.stratum),
+cuts AS (SELECT path.* FROM path JOIN steps ON path.stratum = steps.stratum AND path.step = steps.step),
 bad AS (SELECT DISTINCT rid FROM s JOIN cuts ON s.stratum = cuts.stratum AND s.rule = cuts.rule WHERE x > cut)
 SELECT doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND bad.rid IS NULL AS kept

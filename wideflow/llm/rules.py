@@ -1,11 +1,16 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
-Each rule rejects a document whose statistic is above a cutoff.  For every
-stratum and rule the cutoff is the lowest of a fixed grid for which labelled
-good documents prove, by an exact binomial bound, that the rule's false
-rejection rate stays below its share of the allowed rate.  The confidence is
-divided by the number of tests (strata x rules x grid), so with the stated
-confidence every stratum's total false rejection rate is within the limit.
+Each rule rejects a document whose statistic is above a cutoff.  The evidence is
+the distinct texts of labelled good documents.  In every stratum one half of
+them, by a hash of the text, designs a sequence of cutoff vectors from loose to
+strict: at each step every rule takes the lowest cutoff of a fixed grid that at
+most a given share of these texts is above.  The other half tests the vectors in
+that order: a vector is certified if an exact binomial bound proves that the
+joint false rejection rate of all rules is within the limit, and the first that
+is not ends the sequence.  Testing in a fixed order needs no correction within a
+stratum; the chance of a mistake is divided by the number of strata.  So with
+the stated confidence no stratum rejects more than the allowed share of good
+texts.
 """
 
 from __future__ import annotations
@@ -18,9 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, n_words, pick, stored
 
-#: Largest false rejection rate of good documents in a stratum, and the chance
-#: that it is exceeded in any.
+#: Largest false rejection rate of good texts in a stratum, and the chance that
+#: it is exceeded in any.
 ALLOWED, MISTAKE = 0.05, 0.05
+#: Steps of the sequence: at step i every rule may reject i * STRIDE of the texts
+#: that design it.
+STEPS, STRIDE = 40, 0.00125
 #: Rule -> (statistic from the base columns, grid of cutoffs).
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "long_words": ("try_divide(word_chars, n_words)", tuple(4 + 0.5 * i for i in range(33))),
@@ -107,33 +115,59 @@ def allowed_failures(n: Column, rate: Column, mistake: Column) -> Column:
                        start, step, lambda s: s.getField("k"))
 
 
-def certified_cutoffs(holdout: DataFrame, rules=None, allowed: float = ALLOWED,
-                      mistake: float = MISTAKE) -> DataFrame:
-    """stratum and, per rule, the lowest certified cutoff (NULL if none is).
+def cutoff_sequence(design: DataFrame, rules, steps: int = STEPS, stride: float = STRIDE) -> DataFrame:
+    """stratum and ``path``: an array of steps + 1 structs (a cutoff per rule, NULL if
+    the grid has none that is loose enough), from loose to strict.  ``design``: one
+    row per text, with the stratum and the base columns.  One pass counts the texts
+    above every grid point."""
+    counts = design.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[
+        F.array(*[F.count_if(F.expr(stat) > F.lit(float(c))) for c in cuts]).alias(r)
+        for r, (stat, cuts) in rules.items()])
+
+    def vector(i: Column) -> Column:
+        limit = F.floor(F.col("n") * i * F.lit(stride) + F.lit(1e-9))
+        out = []
+        for r, (_, cuts) in rules.items():
+            grid = F.array(*[F.lit(float(c)) for c in cuts])
+            at = F.array_position(F.transform(r, lambda c: c <= limit), True)
+            out.append(F.when(at > 0, F.get(grid, (at - 1).cast("int"))).alias(r))
+        return F.struct(*out)
+
+    return counts.select("stratum", F.transform(F.sequence(F.lit(0), F.lit(steps)), vector).alias("path"))
 
-    ``holdout`` has one row per labelled good document: ``stratum`` (string,
-    NULL is one of its own, given as '' with a leading mark) and the base
-    columns.  One pass counts, per stratum and grid point, the documents above
-    the cutoff.
-    """
-    rules = rules or RULES
-    grid = [(r, i, c) for r, (_, cuts) in rules.items() for i, c in enumerate(cuts)]
-    counts = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[
-        F.count_if(F.expr(rules[r][0]) > F.lit(float(c))).alias(f"{r}_{i}") for r, i, c in grid])
-    strata = F.count(F.lit(1)).over(_all())
-    t = (counts.withColumn("_mistake", F.lit(float(mistake)) / (strata * len(grid)))
-         .withColumn("_k", allowed_failures(F.col("n"), F.lit(allowed / len(rules)), F.col("_mistake"))))
-    return t.select("stratum", "n", "_k", *[
-        reduce(lambda rest, i, r=r, cuts=cuts: F.when(
-            F.col(f"{r}_{i}") <= F.col("_k"), F.lit(float(cuts[i]))).otherwise(rest),
-            reversed(range(len(cuts))), F.lit(None).cast("double")).alias(f"cut_{r}")
-        for r, (_, cuts) in rules.items()])
 
+def rejects(cuts: Column, rules) -> Column:
+    """Whether any statistic is above its cutoff (no cutoff, or no statistic: no)."""
+    return reduce(lambda a, b: a | b, [
+        F.coalesce(F.expr(stat) > cuts.getField(r), F.lit(False)) for r, (stat, _) in rules.items()])
 
-def _all():
-    from pyspark.sql import Window
 
-    return Window.partitionBy()                          # over one row per stratum
+def certified_cutoffs(holdout: DataFrame, rules=None, allowed: float = ALLOWED, mistake: float = MISTAKE,
+                      steps: int = STEPS, stride: float = STRIDE) -> DataFrame:
+    """stratum, n (texts that test), step and ``cuts`` (struct of a cutoff per rule)
+    of the strictest certified step; strata without one are left out.
+
+    ``holdout`` has one row per good text: ``stratum``, ``design`` (whether the text
+    belongs to the half that designs the sequence) and the base columns.
+    """
+    rules = rules or RULES
+    paths = cutoff_sequence(holdout.where("design"), rules, steps, stride)
+    # A stricter step rejects whatever a looser one does, so the number of steps that
+    # reject a text tells which ones do.
+    test = holdout.where(~F.col("design")).join(paths, "stratum").select(
+        "stratum", F.size(F.filter("path", lambda c: rejects(c, rules))).alias("hits"))
+    per = test.groupBy("stratum", "hits").agg(F.count(F.lit(1)).alias("c"))
+    # Of each stratum: texts by hits, at most steps + 2 entries.
+    per = per.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct("hits", "c")).alias("by"))
+    strata = holdout.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
+    limit = per.join(F.broadcast(strata)).select(         # one row
+        "stratum", "n", "by", allowed_failures(
+            F.col("n"), F.lit(float(allowed)), F.lit(float(mistake)) / F.col("strata")).alias("k"))
+    failed = lambda i: F.aggregate("by", F.lit(0).cast("long"), lambda s, x: s + F.when(
+        x.getField("hits") >= F.lit(steps + 1) - i, x.getField("c")).otherwise(0))
+    passed = F.size(F.filter(F.sequence(F.lit(0), F.lit(steps)), lambda i: failed(i) <= F.col("k")))
+    return (limit.withColumn("step", passed - 1).where(F.col("step") >= 0).join(paths, "stratum")
+            .select("stratum", "n", "k", "step", F.get("path", F.col("step")).alias("cuts")))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, rules=None, allowed: float = ALLOWED,
@@ -144,27 +178,28 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rules=None, allowed: float =
     The strata are the languages.  A document fails the base if it has under 50
     words or over half of them in repeated 3-word windows; it is kept if it
     passes the base and no statistic is above its stratum's certified cutoff.
-    Where a stratum has no cutoff for a rule (too few good documents), the rule
-    rejects nothing there.  The holdout is every labelled good document that
-    passes the base.  NULL lang is a stratum; NULL text has no words; repeated
-    rows are repeated, and a doc_id labelled twice counts once if any label is
-    good; empty tables give an empty result.
+    Where a stratum has no certified step (too few good texts: 86 that test are
+    needed with four strata), the rules reject nothing there.  The evidence is
+    the distinct texts of labelled good documents that pass the base: copies and
+    repeated rows add none.  NULL lang is a stratum; NULL text has no words;
+    repeated rows are repeated, and a doc_id labelled twice counts once if any
+    label is good; empty tables give an empty result.
     """
     rules = rules or RULES
     d = pick(docs, "doc_id", "text", "lang")
     stats = stored(d.select(
-        "doc_id", F.coalesce(F.concat(F.lit("a"), "lang"), F.lit("b")).alias("stratum"),
+        "doc_id", F.coalesce(F.concat(F.lit("a"), "lang"), F.lit("b")).alias("stratum"), F.md5("text").alias("_text"),
         *[c.alias(n) for n, c in base_columns(F.col("text")).items()])
         .withColumn("base_failed", base_failed()))
     good = (pick(labels, "doc_id", "quality").where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
             .select("doc_id").distinct())
-    holdout = stats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+    holdout = stored(stats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+                     .drop("doc_id").dropDuplicates(["stratum", "_text"])
+                     .withColumn("design", F.substring("_text", 1, 1) < "8"))
     cuts = stored(certified_cutoffs(holdout, rules, allowed, mistake))
     # One row per language with labels; Spark broadcasts it while it is small.
-    over = reduce(lambda a, b: a | b, [
-        F.coalesce(F.expr(s) > F.col(f"cut_{r}"), F.lit(False)) for r, (s, _) in rules.items()])
-    return (stats.join(cuts.drop("n", "_k"), "stratum", "left")
-            .withColumn("kept", ~F.col("base_failed") & ~over)
+    return (stats.join(cuts.select("stratum", "cuts"), "stratum", "left")
+            .withColumn("kept", ~F.col("base_failed") & ~rejects(F.col("cuts"), rules))
             .select("doc_id", F.when(F.col("stratum") != "b", F.substring("stratum", 2, 1 << 20)).alias("lang"),
                     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "kept"))
