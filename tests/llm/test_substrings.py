@@ -89,8 +89,10 @@ def test_piece_cover_and_removal():
     own = [(int(s), int(k)) for i, s, k in zip(text, start, n) if i == 2]
     assert own[0][0] == 0 and sum(k for _, k in own) == 16
     assert all(a + k == b for (a, k), (b, _) in zip(own, own[1:]))
-    assert substrings.without("a b  c\nd e", [(1, 2)]) == "a d e"
-    assert substrings.without("a b c", [(0, 2), (1, 2)]) == ""
+    cut = substrings.cut_words
+    assert substrings.without("a b  c\nd e", cut(5, [(1, 2)], [])) == "a d e"
+    assert substrings.without("a b c", cut(3, [(0, 2), (1, 2)], None)) == ""
+    assert substrings.without("a b c", cut(3, [(0, 3)], [(1, 1)])) == "b "
 
 
 def test_passages_of_twenty_words_are_found_to_the_word(spark, make_docs):
@@ -130,3 +132,79 @@ def test_short_lines_and_hard_wrapped_paragraphs_are_units(spark, make_docs):
              for r in substrings.repeated_passages(make_docs(rows)).collect() if r.kind == "paragraph"}
     assert {(i, own[i], 240, 0) for i in (1, 2, 3)} <= found
     assert {x for x in found if x[0] >= 10} == {(11, 30, 10, 10)}
+
+
+def windows_of(text, n=20):
+    w = (text or "").split()
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+
+def stands(rows, out):
+    """Of the windows that two documents or more had: those that stand nowhere now."""
+    from collections import Counter
+    had = Counter(x for t in {(i, t) for i, t, *_ in rows} for x in windows_of(t[1]))
+    left = {x for t in out for x in windows_of(t)}
+    return {x for x, c in had.items() if c > 1} - left
+
+
+def test_a_quote_of_an_edited_copy_is_not_lost(spark, make_docs):
+    rng = random.Random(11)
+    line = words(rng, 300)
+    edited = line[:140] + words(rng, 20) + line[160:]               # a near copy with 20 words of its own
+    quote = edited[135:165]
+    rows = [(0, " ".join(line), "en", "a"), (1, " ".join(edited) + "\n" + " ".join(words(rng, 30)), "en", "a"),
+            (2, " ".join(words(rng, 200) + quote + words(rng, 100)), "en", "a")]
+    out = {r[0]: r[1] for r in substrings.remove_passages(make_docs(rows)).collect()}
+    assert len(out[1].split()) == 30 and out[2] == rows[2][1] and not stands(rows, out.values())
+
+
+def test_a_block_linked_through_its_own_line_stays(spark, make_docs):
+    rng = random.Random(12)
+    line = words(rng, 150)
+    near = list(line)
+    for at in (30, 80, 120):                             # Jaccard 0.81 with the first line
+        near[at] = f"edit{at}"
+    extra = " ".join(words(rng, 30))                     # the block is 0.8 like its line, but not the first
+    rows = [(0, " ".join(line), "en", "a"), (1, " ".join(near) + "\n" + extra, "en", "a")]
+    out = {r[0]: r[1] for r in substrings.remove_passages(make_docs(rows)).collect()}
+    assert out[0] == rows[0][1] and out[1] == extra
+
+
+def test_overlapping_passages_each_stand_somewhere(spark, make_docs):
+    rng = random.Random(13)
+    x, y, z = (words(rng, 30) for _ in range(3))
+    pad = lambda: words(rng, 40)
+    rows = [(1, " ".join(pad() + x + pad()), "en", "a"), (5, " ".join(pad() + x + y + pad()), "en", "a"),
+            (9, " ".join(pad() + x + y + z + pad()), "en", "a"), (12, " ".join(pad() + y + z + pad()), "en", "a")]
+    out = {r[0]: r[1] for r in substrings.remove_passages(make_docs(rows)).collect()}
+    assert not stands(rows, out.values())
+    assert sum(len(t.split()) for t in out.values()) < sum(len(r[1].split()) for r in rows) - 80
+
+
+def test_no_shared_window_is_lost_in_a_corpus(spark, make_docs, edge_rows):
+    """Repeats of every kind (lines, blocks, passages, whole copies, in long texts
+    too): each window that is taken out of a live place stands somewhere."""
+    rng = random.Random(14)
+    pieces = [words(rng, rng.randint(20, 90)) for _ in range(25)]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            parts += rng.choice(pieces) if rng.random() < 0.5 else words(rng, rng.randint(3, 50))
+            parts.append(rng.choice(["\n", "\n \n", ""]))
+        rows.append((i, " ".join(p for p in parts if p), "en", "a"))
+    rows += [(200, rows[7][1], "en", "a"), (None, rows[8][1], "fr", None), rows[9], rows[9]] + edge_rows[-12:]
+    docs = make_docs(rows)
+    out = substrings.remove_passages(docs)
+    left = [(r[0], r[1]) for r in out.collect()]
+    assert out.columns == docs.columns
+    windows = {w for _, t in left for w in windows_of(t)}
+    taken = 0
+    for r in substrings.removals(substrings.identified(docs)).collect():
+        texts = [t.split() for i, t, *_ in rows if i == r.doc_id and t]
+        for start in r.w_gone or []:
+            taken += 1
+            assert any(tuple(w[start:start + 20]) in windows for w in texts)
+    assert taken > 500
+    assert left.count((9, next(t for i, t in left if i == 9))) == sum(r[0] == 9 for r in rows)
+    assert any(t is None for _, t in left) and ("" in [t for _, t in left])

@@ -159,10 +159,9 @@ def certified_cutoffs(holdout: DataFrame, rules=None, allowed: float = ALLOWED,
     per = test.groupBy("stratum", "hits").agg(F.count(F.lit(1)).alias("c"))
     # Of each stratum: texts by hits, at most steps + 2 entries.
     per = per.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct("hits", "c")).alias("by"))
-    strata = holdout.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    limit = per.join(F.broadcast(strata)).select(         # one row
-        "stratum", "n", "by", allowed_failures(
-            F.col("n"), F.lit(float(allowed)), F.lit(float(mistake)) / F.col("strata")).alias("k"))
+    strata = max(holdout.select("stratum").distinct().count(), 1)
+    limit = per.select("stratum", "n", "by", allowed_failures(
+        F.col("n"), F.lit(float(allowed)), F.lit(mistake / strata)).alias("k"))
     failed = lambda i: F.aggregate("by", F.lit(0).cast("long"), lambda s, x: s + F.when(
         x.getField("hits") >= F.lit(steps + 1) - i, x.getField("c")).otherwise(0))
     passed = F.size(F.filter(F.sequence(F.lit(0), F.lit(steps)), lambda i: failed(i) <= F.col("k")))

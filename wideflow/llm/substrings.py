@@ -21,6 +21,7 @@ doc_id; its copies in other documents are removals.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,9 +174,24 @@ def units(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "rid", "text").mapInArrow(run, UNIT)
 
 
+def covered(n: int, spans) -> np.ndarray:
+    """Which of n words the spans (start, words) cover; the work is that of both."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    for a, k in spans:
+        edge[min(a, n)] += 1
+        edge[min(a + k, n)] -= 1
+    return np.cumsum(edge[:n]) > 0
+
+
+def cut_words(n: int, gone, kept) -> np.ndarray:
+    """Which of n words go: those that a span of ``gone`` covers and none of ``kept``."""
+    return covered(n, gone or []) & ~covered(n, kept or [])
+
+
 def seeded_windows(rows: DataFrame) -> DataFrame:
-    """``h``, doc_id, rid and ``start`` of the windows whose seed is listed in
-    ``seeds``, of every row (doc_id, rid, text, seeds)."""
+    """``h``, doc_id, rid, ``start`` and ``dead`` of the windows whose seed is listed in
+    ``seeds``, of every row (doc_id, rid, text, seeds, gone, kept).  ``dead``: a word
+    of the window goes with a paragraph (``gone`` and ``kept``: places of units)."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, 128):
@@ -187,15 +203,26 @@ def seeded_windows(rows: DataFrame) -> DataFrame:
                           for a, b, own in zip(edge[:-1], edge[1:], part.column("seeds").to_pylist(), strict=True)]
                 ok = np.concatenate(wanted)
                 at, text = at[ok], text[ok]
+                cut = np.zeros(len(t.words) + 1, dtype=np.int64)
+                for j, (gone, kept) in enumerate(zip(part.column("gone").to_pylist(), part.column("kept").to_pylist(),
+                                                     strict=True)):
+                    if gone:
+                        a, b = int(t.first[j]), int(t.last[j])
+                        cut[a + 1:b + 1] = cut_words(b - a, spans(gone), spans(kept))
+                cut = np.cumsum(cut)
                 for i in range(0, len(at), 100_000):
                     a, take = at[i:i + 100_000], text[i:i + 100_000]
                     h = sequence_hashes(t.words, a, a + MIN_PASSAGE)
                     yield pa.RecordBatch.from_pydict({
                         "h": pa.array(h.view(np.int64)), "doc_id": part.column("doc_id").take(pa.array(take)),
-                        "rid": part.column("rid").take(pa.array(take)), "start": pa.array(a - t.first[take])})
+                        "rid": part.column("rid").take(pa.array(take)), "start": pa.array(a - t.first[take]),
+                        "dead": pa.array(cut[a + MIN_PASSAGE] > cut[a])})
 
-    return rows.select("doc_id", "rid", "text", "seeds").mapInArrow(
-        run, "h long, doc_id long, rid long, start long")
+    def spans(places):
+        return [(x["start"], x["n"]) for x in places or []]
+
+    return rows.select("doc_id", "rid", "text", "seeds", "gone", "kept").mapInArrow(
+        run, "h long, doc_id long, rid long, start long, dead boolean")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -232,11 +259,22 @@ def identified(docs: DataFrame) -> DataFrame:
         "rid", F.xxhash64(digest(F.col("doc_id"), F.col("text"))))
 
 
+LAST = 2**63 - 1
+
+
+def first_row():
+    """The order in which documents keep a class: by doc_id, NULL last, then rid."""
+    return F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "rid")
+
+
 def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
-    """``node`` and ``component`` of paragraphs linked to others that differ."""
+    """``node`` and ``component`` of paragraphs that go with others that differ.  A
+    component is named by its paragraph in the earliest document, which stays, and
+    holds the paragraphs of the linked ones that match this one directly; others
+    are left to their own equals."""
     lines = own.where(F.col("k").isNotNull())
     distinct = stored(lines.groupBy(F.col("h").alias("node")).agg(
-        F.min(F.struct("doc_id", "rid", "at", "k")).alias("one")))
+        F.min(F.struct("doc_id", "rid", "at", "k")).alias("one"), F.min(first_row()).alias("first")))
     members = distinct.select(F.explode("one.k").alias("bucket"), "node")
     shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
                     .where(F.col("m") > 1).select("bucket"))
@@ -268,8 +306,15 @@ def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
         return (pairs.join(left, "a").join(right, "b")
                 .where(both >= F.lit(JACCARD) * (F.size("_a") + F.size("_b") - both)).select("a", "b"))
 
-    out = connected_components(bucket_links(members, verified))
-    release(distinct, shared, members, sets)
+    linked = connected_components(bucket_links(members, verified))
+    keepers = stored(linked.join(distinct.select("node", "first"), "node").groupBy("component")
+                     .agg(F.min(F.struct("first", "node")).alias("keeper"))
+                     .select("component", F.col("keeper.node").alias("keeper")))
+    direct = verified(linked.join(keepers, "component").where(F.col("node") != F.col("keeper"))
+                      .select(F.col("node").alias("a"), F.col("keeper").alias("b")))
+    out = stored(direct.select(F.col("a").alias("node"), F.col("b").alias("component"))
+                 .union(keepers.select("keeper", "keeper")))
+    release(distinct, shared, members, sets, possible, linked, keepers)
     return out
 
 
@@ -278,36 +323,99 @@ def _extra(occurrences: DataFrame, *columns) -> DataFrame:
     (h, doc_id, rid), each once, of units that an earlier document has."""
     first = stored(occurrences.groupBy("h").agg(
         F.min("rid").alias("lo"), F.max("rid").alias("hi"),
-        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "rid")).alias("first"))
+        F.min(first_row()).alias("first"))
         .where(F.col("lo") != F.col("hi")).select("h", "first"))
     out = stored(occurrences.join(first, "h").where(F.col("rid") != F.col("first.rid"))
                  .select("doc_id", "rid", *columns,
-                         F.nullif(F.col("first.id"), F.lit(2**63 - 1)).alias("kept_doc_id")).distinct())
+                         F.nullif(F.col("first.id"), F.lit(LAST)).alias("kept_doc_id")).distinct())
     release(first)
     return out
 
 
-def passage_windows(rows: DataFrame, own: DataFrame) -> DataFrame:
-    """The windows (h, doc_id, rid, start) whose seeds two documents share."""
+def passage_windows(rows: DataFrame, own: DataFrame, units_of: DataFrame | None = None) -> DataFrame:
+    """The windows (h, doc_id, rid, start, dead) whose seeds two documents share.
+    ``units_of`` (doc_id, rid, gone, kept): the paragraphs that go, and those that
+    others rely on; without it no window is dead."""
     seeds = own.where(F.col("k").isNull()).select("h", "doc_id", "rid")
     classes = stored(seeds.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
                      .where(F.col("lo") != F.col("hi")).select("h"))
     per_row = (seeds.join(classes, "h", "left_semi").groupBy("rid", "doc_id")
                .agg(F.collect_set("h").alias("seeds"))
                .select(F.col("rid").alias("_r"), F.col("doc_id").alias("_d"), "seeds"))
-    out = stored(seeded_windows(rows.join(
-        per_row, (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")))))
+    asked = by_row(rows, per_row)
+    none = F.array().cast("array<struct<start:bigint,n:bigint>>")
+    if units_of is None:
+        asked = asked.withColumns({"gone": none, "kept": none})
+    else:
+        asked = by_row(asked, units_of.withColumnsRenamed({"rid": "_r", "doc_id": "_d"}), "left")
+    out = stored(seeded_windows(asked))
     release(classes)
     return out
 
 
+def by_row(rows: DataFrame, more: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``more`` (one row per document: _r, _d, ...)."""
+    return rows.join(more, (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), how).drop("_r", "_d")
+
+
+def paragraph_units(own: DataFrame, near: DataFrame) -> DataFrame:
+    """h (class), doc_id, rid, at of every paragraph."""
+    return (own.where(F.col("k").isNotNull()).join(near.withColumnRenamed("node", "h"), "h", "left")
+            .select(F.coalesce("component", "h").alias("h"), "doc_id", "rid", "at"))
+
+
+def decided(occurrences: DataFrame, live, *columns) -> DataFrame:
+    """doc_id, rid, ``columns`` and ``goes`` of the occurrences (h, doc_id, rid) of
+    units that several documents have.  The earliest document with a ``live`` one
+    keeps its own (goes: false), other live ones go; if none is live, all that is
+    left of the unit went before, and it has no rows."""
+    classes = stored(occurrences.groupBy("h").agg(
+        F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min(F.when(live, first_row())).alias("first"))
+        .where((F.col("lo") != F.col("hi")) & F.col("first").isNotNull()).select("h", "first"))
+    out = stored(occurrences.where(live).join(classes, "h").select(
+        "doc_id", "rid", *columns, (F.col("rid") != F.col("first.rid")).alias("goes")).distinct())
+    release(classes)
+    return out
+
+
+def per_document(units: DataFrame, place, gone: str, kept: str) -> DataFrame:
+    """doc_id, rid and arrays of the places that go and of those that stay."""
+    return units.groupBy("rid", "doc_id").agg(F.collect_list(F.when(F.col("goes"), place)).alias(gone),
+                                              F.collect_list(F.when(~F.col("goes"), place)).alias(kept))
+
+
+def removals(rows: DataFrame) -> DataFrame:
+    """rid, doc_id, gone, kept, w_gone, w_kept: what goes from each document.
+
+    Paragraphs come first.  A word goes with a paragraph that goes, unless a
+    paragraph that other documents rely on holds it too.  Then windows of
+    ``MIN_PASSAGE`` words: those with a word that goes already are dead, the earliest
+    document with a live one keeps it, and a word goes with a window that goes
+    unless a window that the document keeps holds it too.  So every window that is
+    taken out of a live place stands whole in the document that keeps it.
+    """
+    own = stored(units(rows))
+    near = paragraph_classes(rows, own)
+    lines = paragraph_units(own, near)
+    paragraphs = decided(lines, F.lit(True), "at")
+    spans = stored(per_document(paragraphs, F.struct(*place(F.col("at"))), "gone", "kept"))
+    windows = passage_windows(rows, own, spans)
+    passages = decided(windows, ~F.col("dead"), "start")
+    starts = per_document(passages, F.col("start"), "w_gone", "w_kept")
+    out = stored(spans.withColumn("_s", F.coalesce("doc_id", F.lit(LAST)))
+                 .join(starts.withColumn("_s", F.coalesce("doc_id", F.lit(LAST))).drop("doc_id"), ["rid", "_s"], "full_outer")
+                 .withColumn("doc_id", F.nullif(F.col("_s"), F.lit(LAST))).drop("_s"))
+    release(own, near, paragraphs, spans, windows, passages)
+    return out
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, rid, kind, start_word, n_words, kept_doc_id: the stretches of
     words (counted over the whole text, white space apart) of each document
     that repeat text of the document kept_doc_id, which keeps it.
 
     Kind 'paragraph': a line or a block of lines up to a blank one, of at least
-    five words, equal or of Jaccard similarity 0.8 to others; kind 'passage': at least 20 words in a row, each of
+    five words, equal to or of Jaccard similarity 0.8 with the one that is kept; kind 'passage': at least 20 words in a row, each of
     them within 20 words in a row that an earlier document has too.  Only repeats across documents count;
     rows equal in id and text are one document.  A class stays in its smallest
     doc_id (NULL last), ties by a hash of the text.  NULL and empty texts have
@@ -316,9 +424,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = identified(docs)
     own = stored(units(rows))
     near = paragraph_classes(rows, own)
-    lines = (own.where(F.col("k").isNotNull()).join(near.withColumnRenamed("node", "h"), "h", "left")
-             .select(F.coalesce("component", "h").alias("h"), "doc_id", "rid", "at"))
-    windows = passage_windows(rows, own)
+    lines = paragraph_units(own, near)
+    windows = passage_windows(rows, own).drop("dead")
     extra = _extra(windows, "start")
     # Windows that overlap or follow each other without a gap are one run.
     order = Window.partitionBy("rid", "doc_id").orderBy("start")
@@ -339,28 +446,27 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return out
 
 
-def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the words of the spans (first word, words) and the
-    white space after each."""
+def without(text: str, cut: np.ndarray) -> str:
+    """The text without the words that go and the white space after each."""
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     start, _ = word_spans(raw)
     start = np.append(start, len(raw))
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], cut.astype(np.int8), [0]))))
     out, done = [], 0
     data = raw.tobytes()
-    for a, n in sorted(spans):
-        out.append(data[done:max(done, start[a])])
-        done = max(done, int(start[min(a + n, len(start) - 1)]))
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        out.append(data[done:start[a]])
+        done = int(start[b])
     out.append(data[done:])
     return b"".join(out).decode()
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without their repeated passages.  All columns are
-    kept; ``text`` is cut and ``n_chars``, where there is one, follows it.  A
-    row of which no word is left goes; rows without repeats stay as they are."""
-    spans = (repeated_passages(docs).groupBy("rid", "doc_id").agg(
-        F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
-        .select(F.col("rid").alias("_r"), F.col("doc_id").alias("_d"), "_spans"))
+    """The rows of ``docs`` without their repeated passages (:func:`removals`).  All
+    columns are kept; ``text`` is cut and ``n_chars``, where there is one, follows
+    it.  A row of which no word is left goes; rows without repeats stay as they
+    are.  NULL and empty texts stay; repeated rows are cut alike."""
+    spans = removals(identified(docs)).withColumnsRenamed({"rid": "_r", "doc_id": "_d"})
     rows = with_key(docs, "_rid", lambda i, t: F.xxhash64(digest(i, t)))
     rows = rows.withColumn("_id", F.lit(None).cast("long") if position(docs, "doc_id") is None
                            else F.col(f"_c{position(docs, 'doc_id')}").cast("long"))
@@ -368,19 +474,27 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     text = f"_c{position(docs, 'text')}"
 
     @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: t if s is None else without(
-            t, [(x["start_word"], x["n_words"]) for x in s]))
-
-    new = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_spans")))
-    done = joined.withColumn("_new", new)
-    done = done.where(F.col("_spans").isNull() | F.rlike("_new", F.lit(r"[^\x20\x09-\x0D]")))
+    def cut(texts: pd.Series, gone: pd.Series, kept: pd.Series, w_gone: pd.Series, w_kept: pd.Series) -> pd.Series:
+        def one(t, *places):
+            if t is None or all(y is None or not len(y) for y in places):
+                return t
+            n = len(word_spans(np.frombuffer(t.encode(), dtype=np.uint8))[0])
+            p, q = ([(x["start"], x["n"]) for x in ([] if y is None else y)] for y in places[:2])
+            a, b = ([(x, MIN_PASSAGE) for x in ([] if y is None else y)] for y in places[2:])
+            return without(t, cut_words(n, p, q) | cut_words(n, a, b))
+
+        return pd.Series([one(*x) for x in zip(texts, gone, kept, w_gone, w_kept, strict=True)], dtype=object)
+
+    some = (F.size(F.coalesce("gone", F.array())) > 0) | (F.size(F.coalesce("w_gone", F.array())) > 0)
+    new = F.when(F.col("_cut"), cut(F.col(text), "gone", "kept", "w_gone", "w_kept")).otherwise(F.col(text))
+    done = joined.withColumn("_cut", some).withColumn("_new", new)
+    done = done.where(~F.col("_cut") | F.rlike("_new", F.lit(r"[^\x20\x09-\x0D]")))
     out = []
     for i, c in enumerate(docs.columns):
         if i == position(docs, "text"):
             out.append(F.col("_new").alias(f"_c{i}"))
         elif i == position(docs, "n_chars"):
-            out.append(F.when(F.col("_spans").isNull(), F.col(f"_c{i}")).otherwise(
+            out.append(F.when(~F.col("_cut"), F.col(f"_c{i}")).otherwise(
                 F.length("_new").cast(docs.schema[i].dataType)).alias(f"_c{i}"))
         else:
             out.append(F.col(f"_c{i}"))
