@@ -9,7 +9,7 @@ import corpus_pipeline
 
 from . import (codes, licenses, lines, mixing, quality, rules, shard, simhash, substrings, tokens, topk,
                whitening)
-from .common import documents, ship, table
+from .common import documents, pick, ship, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors, by Hamming distance of their sign codes, of every
     vector whose id is divisible by 20, among all vectors."""
-    v = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding")).alias("code"))
+    e = pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    words = topk.words_for(e, "embedding")
+    v = e.select(F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding"), words).alias("code"))
     q = v.where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id")
     return topk.top_k(v, q, 10)
 
