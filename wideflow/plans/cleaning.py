@@ -22,14 +22,59 @@ from wideflow.sources import io
 
 # The reference's categoric codes.
 REFERENCE_CATEGORIC = [
-    "sex", "ethnicity",
-    *[f"s_meds_{x}" for x in "a b d g h j l m n p r s v c".split()],
-    *[f"s_meds_c_{x}" for x in "cardiac ht diur bb ccb ren lipid other".split()],
-    "clinic_bp_status",
-    *[f"ses_{x}" for x in "skill education income score class".split()],
+    "sex", "ethnicity", "s_meds_a", "s_meds_b", "s_meds_d", "s_meds_g", "s_meds_h", "s_meds_j", "s_meds_l",
+    "s_meds_m", "s_meds_n", "s_meds_p", "s_meds_r", "s_meds_s", "s_meds_v", "s_meds_c", "s_meds_c_cardiac",
+    "s_meds_c_ht", "s_meds_c_diur", "s_meds_c_bb", "s_meds_c_ccb", "s_meds_c_ren", "s_meds_c_lipid",
+    "s_meds_c_other", "clinic_bp_status", "ses_skill", "ses_education", "ses_income", "ses_score", "ses_class",
     "bp_grade",
 ]
 
+# The features that the reference selects by hand.
+REFERENCE_MANUAL = [
+    "sex", "ethnicity", "age_b", "sbp", "dbp", "map", "pp", "hr", "glucose_rerun", "trig", "ldl", "hdl", "chol",
+    "cotinine", "ggt", "smoker", "excessive_alcohol", "sedentary", "prehypertensive", "obese", "lvm_cube", "lvh",
+    "imtn_mean", "pwv", "mcp_1", "crp",
+]
+
+# The names that the reference shows for features.
+REFERENCE_NAMES = {
+    "ses_skill": "Socio-Economic Status \u2013 Skill Level",
+    "ses_income": "Socio-Economic Status \u2013 Total Household Income",
+    "ses_score": "Socio-Economic Status \u2013 Score",
+    "ses_class": "Socio-Economic Status \u2013 Class",
+    "ses_education": "Socio-Economic Status \u2013 Education",
+    "bw": "Body Weight",
+    "bp_grade": "Clinic Blood Pressure Grade",
+    "travel_minutes_week": "Minutes/Week Traveled Using Bicycle or Walking",
+    "lvpwd": "LV Posterior Wall Thickness at Diastole",
+    "lvpws": "LV Posterior Wall Thickness at Systole",
+    "lvs_mass": "LV Mass at Systole",
+    "lad": "Left Atrium Diameter",
+    "aod": "Aortic Root Diameter",
+    "mv_ea_ratio": "Mitral Valve E to A Ratio",
+    "ras_renin": "Ang I + Ang II",
+    "dhea_s": "Dehydroepiandrosterone Sulfate",
+    "cp": "C-peptide",
+    "glu_u_sz_creat": "Glucose in mg/gcreat",
+    "uric_u_sz_mgdl": "Uric Acid in mg/dL",
+    "phos_u_sz_mgdl": "Phosphorus in mg/dL",
+    "cr_u_sz": "Chromium",
+    "sbp": "Systolic Blood Pressure",
+    "cpp": "Central Aortic Pulse Pressure",
+    "map_syst": "Mean Arterial Pressure Systole",
+    "sex": "Participant Gender",
+    "v": "Participant Ethnicity",
+    "s_meds_a": "Medication for Alimentary Tract and Metabolism",
+    "prehypertensive": "Prehypertensive",
+    "sedentary": "Sedentary",
+    "smoker": "Smoker",
+    "excessive_alcohol": "Alcohol Consumption",
+    "dyslipidemic": "Dyslipidemic",
+    "obese": "Patient Obesity",
+    "age_b": "Participant Age",
+    "ethnicity": "Patient Ethnicity",
+}
+
 
 def clean_table(df: DataFrame, label: str = "abpm_overall_ht", status: str = "clinic_bp_status",
                 id_col: str = "s_pp_number", categoric: Sequence[str] | None = None, max_pct: float = 10.0,

@@ -10,6 +10,7 @@ from wideflow.operators import evaluate as ev
 from wideflow.operators import flags as fl
 from wideflow.operators import measures as ms
 from wideflow.operators import profile as pr
+from wideflow.plans.cleaning import REFERENCE_NAMES
 from wideflow.plans.common import METRIC_DOUBLES, finish, finish_sql, metric_sql, obs, with_obs
 from wideflow.sources.fixtures import OBS_COLUMNS, OBS_DOUBLES
 from wideflow.sources.io import clean_nan
@@ -268,7 +269,7 @@ def q_feature_roles(spark, sf):
 
 
 # Display names for some feature codes (one code deliberately has none).
-_NAMES = [("sbp", "Systolic BP"), ("dbp", "Diastolic BP"), ("bmi", "Body mass index"), ("lab", "Lab value")]
+_NAMES = list(REFERENCE_NAMES.items())
 _NAMES_SQL = "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _NAMES) + ") t(feature, label))"
 
 
