@@ -6,7 +6,8 @@ that many words slide over the whole text; a window's MinHash bands are looked
 up among those of the group's templates.  The number of bands is chosen so that
 a window holding a template with the least containment collides with it with
 at least the wanted probability.  A retrieved template is then compared with
-the words around the window, shingle by shingle.
+the words around the window, shingle by shingle; its numbers (versions) must all
+stand in the match.  Of matches that overlap, the best contained one is marked.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ SHINGLE, CONTAINMENT, MISS = 5, 0.8, 1e-4
 #: so what a task holds of them is bounded.
 TEMPLATES_PER_PASS = 4096
 
-# Wordings of well-known notices.
+# Wordings of well-known notices and of license headers.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are "
@@ -39,6 +40,47 @@ NOTICES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
             "software and associated documentation files"),
     ("proprietary", "All rights reserved."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
+                   "except in compliance with the License. You may obtain a copy of the License at"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the "
+                "GNU General Public License as published by the Free Software Foundation; either version 2 of the "
+                "License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+                "GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+                "License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the "
+                 "GNU Lesser General Public License as published by the Free Software Foundation; either version "
+                 "2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+                 "GNU Affero General Public License as published by the Free Software Foundation, either version "
+                 "3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy "
+                "of the MPL was not distributed with this file, You can obtain one at"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse "
+                "Public License 2.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+            "is hereby granted, provided that the above copyright notice and this permission notice appear in all "
+            "copies."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to "
+                     "endorse or promote products derived from this software without specific prior written "
+                     "permission."),
+    ("MIT", "to deal in the Software without restriction, including without limitation the rights to use, copy, "
+            "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+            "persons to whom the Software is furnished to do so"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the "
+             "authors be held liable for any damages arising from the use of this software."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring "
+                "rights to this work."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International "
+                     "License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International "
+                     "License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International "
+                     "License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                        "International License."),
 ]
 
 #: A-Z to lower case, other ASCII characters that are no letter or digit to spaces.
@@ -67,12 +109,34 @@ def least_jaccard(n: int, stride: int) -> float:
     return shared / (2 * n - shared)
 
 
+def numbers(words: list[bytes]) -> set[bytes]:
+    """The words with a digit: a match must have those of its template."""
+    return {w for w in words if any(48 <= c <= 57 for c in w)}
+
+
+def best_of(matches: list[tuple[int, int, int, float]]) -> list[bool]:
+    """Which of a text's matches (template, first word, words, containment) no
+    better one overlaps: the best contained first, then the longest, then the
+    first template."""
+    order = sorted(range(len(matches)), key=lambda m: (-matches[m][3], -matches[m][2], matches[m][0], matches[m][1]))
+    taken = np.zeros(max((a + n for _, a, n, _ in matches), default=0), dtype=bool)
+    out = [False] * len(matches)
+    for m in order:
+        _, a, n, _ = matches[m]
+        if not taken[a:a + n].any():
+            out[m] = True
+            taken[a:a + n] = True
+    return out
+
+
 class Scanner:
     """Bands of one block of templates, and the scan of a batch of texts."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         self.templates = [(i, name, words_of(text)) for i, (name, text) in templates]
         self.sets = {i: shingles(w) for i, _, w in self.templates}
+        self.numbers = {i: numbers(w) for i, _, w in self.templates}
+        self.sizes = {i: len(w) for i, _, w in self.templates}
         self.groups = []
         by_words: dict[int, list] = {}
         for t in self.templates:
@@ -150,7 +214,7 @@ class Scanner:
     def _matches(self, words: list[bytes], i: int, found: list[int]):
         """The verified matches of template i near the windows ``found``."""
         wanted = self.sets[i]
-        size = len(next(t[2] for t in self.templates if t[0] == i))
+        size = self.sizes[i]
         k = min(SHINGLE, size)
         # Runs of overlapping windows are one stretch of text.
         runs: list[list[int]] = []
@@ -167,8 +231,8 @@ class Scanner:
                 if inside[p]:
                     here = {tuple(region[q:q + k]) for q in range(p, min(p + size - k + 1 + size // 5, len(inside)))}
                     share = len(here & wanted) / len(wanted)
-                    if share >= CONTAINMENT:
-                        last = max(q for q in range(p, min(p + size - k + 1 + size // 5, len(inside))) if inside[q])
+                    last = max(q for q in range(p, min(p + size - k + 1 + size // 5, len(inside))) if inside[q])
+                    if share >= CONTAINMENT and self.numbers[i] <= set(region[p:last + k]):
                         yield a + p, last - p + k, share
                         p = last + k
                         continue
@@ -176,8 +240,10 @@ class Scanner:
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, template_id, license, start_word, n_words, containment: one row
-    per match of a template (license, text) in a row of ``docs``.
+    """doc_id, template_id, license, start_word, n_words, containment, best: one row
+    per match of a template (license, text) in a row of ``docs``.  ``best``: no match
+    of its block of templates that overlaps it is better contained, longer, or of
+    an earlier template.
 
     Words are compared in lower case without ASCII punctuation; ``start_word``
     counts such words.  A template of under five words is one shingle.  NULL,
@@ -199,15 +265,17 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                     found = scanner.scan([x or "" for x in part.column("text").to_pylist()])
                     if found:
                         text, i, at, n, share = zip(*found, strict=True)
+                        edge = [0, *[x for x in range(1, len(text)) if text[x] != text[x - 1]], len(text)]
+                        best = [y for a, b in zip(edge, edge[1:]) for y in best_of([m[1:] for m in found[a:b]])]
                         yield pa.RecordBatch.from_pydict({
                             "doc_id": pa.array([ids[x] for x in text], pa.int64()),
                             "template_id": pa.array(i, pa.int32()),
                             "license": pa.array([names[x] for x in i], pa.string()),
                             "start_word": pa.array(at, pa.int64()), "n_words": pa.array(n, pa.int64()),
-                            "containment": pa.array(share, pa.float64())})
+                            "containment": pa.array(share, pa.float64()), "best": pa.array(best, pa.bool_())})
 
         return rows.mapInArrow(run, "doc_id long, template_id int, license string, start_word long, "
-                                    "n_words long, containment double")
+                                    "n_words long, containment double, best boolean")
 
     out = None
     for i in range(0, max(1, len(listed)), TEMPLATES_PER_PASS):
