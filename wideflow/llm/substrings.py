@@ -35,9 +35,11 @@ from .components import bucket_links, connected_components
 SHINGLE, JACCARD, BANDS, ROWS = 5, 0.8, 9, 4
 MIN_PASSAGE, SEED = 20, 8
 
-#: A unit: hash of its words, document, place (first word * 2**24 + words), bands.
+#: A unit: hash of its words, document, place (first word * 2**31 + words), bands.
+#: A text has under 2**31 bytes, so both parts of a place always fit.
 UNIT = "h long, doc_id long, rid long, at long, k array<long>"
-AT = 1 << 24
+PLACE_BITS = 31
+AT = 1 << PLACE_BITS
 
 
 def sequence_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -250,7 +252,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
 
 def place(at):
     """First word and number of words of a unit."""
-    return (F.shiftright(at, 24).alias("start"), at.bitwiseAND(F.lit(AT - 1)).alias("n"))
+    return (F.shiftright(at, PLACE_BITS).alias("start"), at.bitwiseAND(F.lit(AT - 1)).alias("n"))
 
 
 def identified(docs: DataFrame) -> DataFrame:
