@@ -18,7 +18,6 @@ from __future__ import annotations
 from typing import Callable, Iterable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -311,15 +310,19 @@ def replay(df: DataFrame, cols, order, means, rounds) -> DataFrame:
     """``df`` with the columns of ``cols`` completed, in one pass."""
     ship_package(df.sparkSession)
 
-    @F.pandas_udf("array<double>")
-    def complete(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return x
-        rows = np.array([[np.nan if v is None else v for v in r] for r in x], dtype=float)
-        return pd.Series(list(replayed(rows, cols, order, means, rounds)))
+    cols = list(cols)
+    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in cols else f for f in df.schema.fields])
 
-    done = df.withColumn("__x", complete(F.array(*[F.col(c).cast("double") for c in cols])))
-    return done.select(*[F.col("__x")[cols.index(c)].alias(c) if c in cols else F.col(c) for c in df.columns])
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = replayed(matrix(b.column("__x"), b.num_rows), cols, order, means, rounds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[:, cols.index(f.name)]) if f.name in cols else b.column(f.name) for f in schema.fields],
+                    names=[f.name for f in schema.fields])
+
+    cells = F.array(*[F.col(c).cast("double") for c in cols]).alias("__x")
+    return df.select(*[F.col(c) for c in df.columns if c not in cols], cells).mapInArrow(run, schema)
 
 
 class IterativeImputerModel:
