@@ -84,3 +84,15 @@ def test_stack_features(data, models):
     wide = oof.stack_features(oof.out_of_fold(data, models, "id", "y"), ["lr", "rf"])
     assert wide.columns == ["id", "label", "fold", "s_lr", "s_rf"] and wide.count() == 400
     assert wide.where("s_lr IS NULL OR s_rf IS NULL").count() == 0
+
+
+def test_stored_tables_leave_the_session_as_it_was(spark):
+    from wideflow import session
+    before = spark.conf.get(session.CLEANUP_CONF, None)
+    t = session.materialize(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert t.count() == 7 and spark.conf.get(session.CLEANUP_CONF, None) == before
+    both = oof.side_by_side([lambda i=i: session.materialize(spark.range(i + 1).distinct()).count() for i in range(6)], 3)
+    assert both == [1, 2, 3, 4, 5, 6] and spark.conf.get(session.CLEANUP_CONF, None) == before
+    with pytest.raises(Exception):
+        session.materialize(spark.range(3).select(F.raise_error(F.lit("no")).alias("x")))
+    assert spark.conf.get(session.CLEANUP_CONF, None) == before

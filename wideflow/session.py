@@ -6,12 +6,19 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: With this setting Spark deletes an execution's shuffle files when it ends; else
+#: they stay until the driver happens to collect its garbage.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_storing = {"now": 0, "before": None}
 
 #: Paths of stored intermediate tables, with the session that wrote them.
 _kept: dict[str, weakref.ref] = {}
@@ -98,6 +105,27 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def _own_shuffles_only(spark: SparkSession):
+    """While a table is stored (by any thread), shuffle files go with the execution
+    that made them: the stored table is all that is read again."""
+    with _lock:
+        if not _storing["now"]:
+            _storing["before"] = spark.conf.get(CLEANUP_CONF, None)
+            spark.conf.set(CLEANUP_CONF, "true")
+        _storing["now"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _storing["now"] -= 1
+            if not _storing["now"] and spark.sparkContext._jsc is not None:
+                if _storing["before"] is None:
+                    spark.conf.unset(CLEANUP_CONF)
+                else:
+                    spark.conf.set(CLEANUP_CONF, _storing["before"])
+
+
 def materialize(df: DataFrame, spread: bool = False, partition_by: tuple[str, ...] = (),
                 **options: str) -> DataFrame:
     """Compute ``df`` once, store it as Parquet in the shared checkpoint
@@ -121,7 +149,8 @@ def materialize(df: DataFrame, spread: bool = False, partition_by: tuple[str, ..
     if spread:
         df = df.repartition(max(spark.sparkContext.defaultParallelism,
                                 int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    df.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(path)
+    with _own_shuffles_only(spark):
+        df.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(path)
     # the schema is given, as an empty partitioned table has no file to tell it
     out = (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
     out.wideflow_path = path
@@ -135,9 +164,9 @@ def bucketed(df: DataFrame, keys: list[str], buckets: int, **options: str) -> Da
     spark = df.sparkSession
     path = scratch_path(spark)
     name = f"wideflow_{os.path.basename(path)}"
-    (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet")
-     .options(**options)
-     .bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name))
+    with _own_shuffles_only(spark):
+        (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").options(**options)
+         .bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name))
     out = spark.table(name)
     out.wideflow_path = path
     _tables[path] = name
