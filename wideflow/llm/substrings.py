@@ -320,18 +320,16 @@ def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
     return out
 
 
-def _extra(occurrences: DataFrame, *columns) -> DataFrame:
-    """``doc_id``, ``rid``, ``columns`` and ``kept_doc_id`` of the occurrences
-    (h, doc_id, rid), each once, of units that an earlier document has."""
+def _extra(occurrences: DataFrame, *columns) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``rid``, ``columns`` and ``kept_doc_id`` of the occurrences (h, doc_id,
+    rid) of units that an earlier document has, as often as rows repeat, and the
+    stored table behind them."""
     first = stored(occurrences.groupBy("h").agg(
         F.min("rid").alias("lo"), F.max("rid").alias("hi"),
         F.min(first_row()).alias("first"))
         .where(F.col("lo") != F.col("hi")).select("h", "first"))
-    out = stored(occurrences.join(first, "h").where(F.col("rid") != F.col("first.rid"))
-                 .select("doc_id", "rid", *columns,
-                         F.nullif(F.col("first.id"), F.lit(LAST)).alias("kept_doc_id")).distinct())
-    release(first)
-    return out
+    return (occurrences.join(first, "h").where(F.col("rid") != F.col("first.rid"))
+            .select("doc_id", "rid", *columns, F.nullif(F.col("first.id"), F.lit(LAST)).alias("kept_doc_id"))), first
 
 
 def passage_windows(rows: DataFrame, own: DataFrame, units_of: DataFrame | None = None) -> DataFrame:
@@ -366,24 +364,23 @@ def paragraph_units(own: DataFrame, near: DataFrame) -> DataFrame:
             .select(F.coalesce("component", "h").alias("h"), "doc_id", "rid", "at"))
 
 
-def decided(occurrences: DataFrame, live, *columns) -> DataFrame:
-    """doc_id, rid, ``columns`` and ``goes`` of the occurrences (h, doc_id, rid) of
+def decided(occurrences: DataFrame, live, *columns) -> tuple[DataFrame, DataFrame]:
+    """doc_id, rid, ``columns`` and ``goes`` (and the stored table behind them) of the occurrences (h, doc_id, rid) of
     units that several documents have.  The earliest document with a ``live`` one
     keeps its own (goes: false), other live ones go; if none is live, all that is
     left of the unit went before, and it has no rows."""
     classes = stored(occurrences.groupBy("h").agg(
         F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min(F.when(live, first_row())).alias("first"))
         .where((F.col("lo") != F.col("hi")) & F.col("first").isNotNull()).select("h", "first"))
-    out = stored(occurrences.where(live).join(classes, "h").select(
-        "doc_id", "rid", *columns, (F.col("rid") != F.col("first.rid")).alias("goes")).distinct())
-    release(classes)
-    return out
+    return occurrences.where(live).join(classes, "h").select(
+        "doc_id", "rid", *columns, (F.col("rid") != F.col("first.rid")).alias("goes")), classes
 
 
 def per_document(units: DataFrame, place, gone: str, kept: str) -> DataFrame:
-    """doc_id, rid and arrays of the places that go and of those that stay."""
-    return units.groupBy("rid", "doc_id").agg(F.collect_list(F.when(F.col("goes"), place)).alias(gone),
-                                              F.collect_list(F.when(~F.col("goes"), place)).alias(kept))
+    """doc_id, rid and arrays of the places that go and of those that stay (each
+    once, however often a row repeats)."""
+    return units.groupBy("rid", "doc_id").agg(F.collect_set(F.when(F.col("goes"), place)).alias(gone),
+                                              F.collect_set(F.when(~F.col("goes"), place)).alias(kept))
 
 
 def removals(rows: DataFrame) -> DataFrame:
@@ -399,15 +396,16 @@ def removals(rows: DataFrame) -> DataFrame:
     own = stored(units(rows))
     near = paragraph_classes(rows, own)
     lines = paragraph_units(own, near)
-    paragraphs = decided(lines, F.lit(True), "at")
+    paragraphs, classes = decided(lines, F.lit(True), "at")
     spans = stored(per_document(paragraphs, F.struct(*place(F.col("at"))), "gone", "kept"))
     windows = passage_windows(rows, own, spans)
-    passages = decided(windows, ~F.col("dead"), "start")
+    release(own, near, classes)
+    passages, classes = decided(windows, ~F.col("dead"), "start")
     starts = per_document(passages, F.col("start"), "w_gone", "w_kept")
     out = stored(spans.withColumn("_s", F.coalesce("doc_id", F.lit(LAST)))
                  .join(starts.withColumn("_s", F.coalesce("doc_id", F.lit(LAST))).drop("doc_id"), ["rid", "_s"], "full_outer")
                  .withColumn("doc_id", F.nullif(F.col("_s"), F.lit(LAST))).drop("_s"))
-    release(own, near, paragraphs, spans, windows, passages)
+    release(spans, windows, classes)
     return out
 
 
@@ -426,10 +424,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = identified(docs)
     own = stored(units(rows))
     near = paragraph_classes(rows, own)
-    lines = paragraph_units(own, near)
-    windows = passage_windows(rows, own).drop("dead")
-    extra = _extra(windows, "start")
-    # Windows that overlap or follow each other without a gap are one run.
+    windows = passage_windows(rows, own)
+    copies, first_lines = _extra(paragraph_units(own, near), *place(F.col("at")))
+    whole = stored(copies.distinct().select(
+        "doc_id", "rid", F.lit("paragraph").alias("kind"), F.col("start").alias("start_word"),
+        F.col("n").alias("n_words"), "kept_doc_id"))
+    release(own, near, first_lines)
+    extra, first_windows = _extra(windows.drop("dead"), "start")
+    # Windows that overlap or follow each other without a gap are one run.  Repeated
+    # rows, runs and their ends all need a document's windows together: one shuffle.
+    extra = extra.repartition("rid", "doc_id").dropDuplicates(["rid", "doc_id", "start"])
     order = Window.partitionBy("rid", "doc_id").orderBy("start")
     apart = F.col("start") > F.lag("start", 1, -1 - MIN_PASSAGE).over(order) + F.lit(MIN_PASSAGE)
     runs = (extra.withColumn("_new", apart.cast("int"))
@@ -439,12 +443,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                 (F.max("start") + F.lit(MIN_PASSAGE) - F.min("start")).alias("n_words"),
                 F.min("kept_doc_id").alias("kept_doc_id"))
             .select("doc_id", "rid", F.lit("passage").alias("kind"), "start_word", "n_words", "kept_doc_id"))
-    copies = _extra(lines, *place(F.col("at")))
-    whole = copies.select(
-        "doc_id", "rid", F.lit("paragraph").alias("kind"), F.col("start").alias("start_word"),
-        F.col("n").alias("n_words"), "kept_doc_id")
     out = stored(runs.unionByName(whole))
-    release(own, near, windows, copies, extra)
+    release(windows, whole, first_windows)
     return out
 
 
