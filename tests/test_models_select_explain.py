@@ -127,3 +127,26 @@ def test_rfe_svm_form(signal):
     out = se.rfe_cv(signal, ["a", "b", "c"], "y", "fold").collect()
     assert sorted(r["n_features"] for r in out) == [1, 2, 3]
     assert sum(1 for r in out if r["selected"]) == 1
+
+
+def test_shapley_of_additive_scores_without_perturbed_rows(spark, signal):
+    """A linear score is explained inside the tasks: the same values as the general
+    way, rows of one id together, gaps included, and no row per perturbation."""
+    feats = ["a", "b", "c"]
+    bg = xp.background(signal, "id", feats, 7)
+    model = md.make_model("lr", feats, "y", {"regParam": 1e-3}).fit(signal)
+    gaps = spark.createDataFrame([(1, 0.5, None, 2.0), (1, 1.0, 2.0, 3.0), (2, None, None, None), (None, 1.0, 0.0, 4.0)],
+                                 "id long, a double, b double, c double")
+    rows = signal.where("id < 30")
+    for pf, d in ((xp.linear_predictor({"a": 0.5, "c": -2.0}, 1.0), gaps), (xp.linear_predictor({"b": 3.0}), rows),
+                  (xp.model_predictor(model, "prediction"), rows), (xp.model_predictor(model, "p1"), rows)):
+        assert pf.additive is not None
+        fast = xp.shapley_values(pf, d, "id", feats, bg, 2)
+        assert "Generate" not in fast._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+        slow = xp.shapley_values(lambda x, pf=pf: pf(x), d, "id", feats, bg, 2)
+        one, two = ({(r["id"], r["feature"]): r["phi"] for r in t.collect()} for t in (fast, slow))
+        assert one.keys() == two.keys()
+        for k, v in two.items():
+            assert one[k] == (None if v is None else pytest.approx(v, abs=1e-12))
+    with pytest.raises(Exception, match="missing cells"):
+        xp.shapley_values(xp.model_predictor(model, "p1"), gaps, "id", feats, bg, 2).collect()

@@ -2,25 +2,72 @@
 
 A *predictor* is any function ``DataFrame -> DataFrame`` that adds a double
 column ``__f`` (a fitted pipeline's class or probability, or a plain
-expression).  Both explainers build their perturbed rows with ``explode``
-over a grid whose size is fixed by the parameters (permutations x
+expression).  Any predictor can be explained: the perturbed rows are built with
+``explode`` over a grid whose size is fixed by the parameters (permutations x
 background rows x features, or grid points) -- never by the data -- and
-score them with one distributed ``transform``.
+scored with one distributed ``transform``.  A predictor that also tells its
+weights and link (:class:`Additive`, as the linear ones do) has the same
+perturbed rows scored inside the tasks, batch by batch as matrices: the rows
+that Spark handles are then those of the input.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from dataclasses import dataclass
 from typing import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wideflow.functions.cross import matrix
 from wideflow.functions.expr import md5_order_key
 from wideflow.functions.ranking import ordered_scan
 from wideflow.operators.impute import value_counts
+from wideflow.session import ship_package
 
 Predictor = Callable[[DataFrame], DataFrame]
+#: Perturbed rows that a task scores at a time.
+CELLS_AT_ONCE = 1 << 18
+
+
+@dataclass(frozen=True)
+class Additive:
+    """A predictor's score as a function of a weighted sum: ``link`` is 'identity',
+    'logistic' or 'class' (1 if the sum is above ``limit``).  ``strict``: missing
+    cells raise, as they do in a fitted pipeline; else the score is missing."""
+    weights: dict[str, float]
+    bias: float = 0.0
+    link: str = "identity"
+    limit: float = 0.0
+    strict: bool = False
+
+    def scores(self, margins: np.ndarray) -> np.ndarray:
+        if self.link == "identity":
+            return margins
+        if self.link == "class":
+            return margins > self.limit
+        return 1 / (1 + np.exp(-margins))
+
+
+def _additive(model, output: str) -> Additive | None:
+    """What :class:`Additive` says of a fitted pipeline; None if it is not an
+    assembler and a two-class logistic regression."""
+    stages = getattr(model, "stages", [])
+    if len(stages) != 2 or not isinstance(stages[1], LogisticRegressionModel) or stages[1].numClasses != 2:
+        return None
+    asm, lr = stages
+    columns, weights = asm.getInputCols(), lr.coefficients.toArray()
+    if lr.isSet("thresholds") or len(columns) != len(weights) or asm.getHandleInvalid() != "error":
+        return None
+    t = lr.getThreshold()
+    limit = -math.inf if t <= 0 else math.inf if t >= 1 else math.log(t / (1 - t))
+    return Additive(dict(zip(columns, weights.tolist(), strict=True)), float(lr.intercept),
+                    "class" if output == "prediction" else "logistic", limit, True)
 
 
 def model_predictor(model, output: str = "prediction") -> Predictor:
@@ -31,6 +78,7 @@ def model_predictor(model, output: str = "prediction") -> Predictor:
     def run(df: DataFrame) -> DataFrame:
         out = predict(model, df)
         return out.withColumn("__f", F.col("prediction" if output == "prediction" else "p1").cast("double"))
+    run.additive = _additive(model, output)
     return run
 
 
@@ -40,6 +88,7 @@ def linear_predictor(weights: dict[str, float], bias: float = 0.0) -> Predictor:
         for f, w in weights.items():
             s = s + F.col(f).cast("double") * F.lit(float(w))
         return df.withColumn("__f", s)
+    run.additive = Additive({f: float(w) for f, w in weights.items()}, float(bias))
     return run
 
 
@@ -75,6 +124,9 @@ def shapley_values(predict_fn: Predictor, df: DataFrame, id_col: str, features:
     feats = list(features)
     p = len(feats)
     perms = permutations(p, n_perm, seed)
+    form = getattr(predict_fn, "additive", None)
+    if form is not None and set(form.weights) <= set(feats) and len(set(feats)) == p and bg:
+        return _shapley_additive(form, df, id_col, feats, bg, perms)
     pos = [[perm.index(i) for i in range(p)] for perm in perms]   # position of feature i in perm k
     combos = F.explode(F.array(*[F.struct(F.lit(k).alias("__k"), F.lit(b).alias("__b"), F.lit(j).alias("__j"))
                                  for k in range(n_perm) for b in range(len(bg)) for j in range(p + 1)]))
@@ -102,6 +154,67 @@ def shapley_values(predict_fn: Predictor, df: DataFrame, id_col: str, features:
     return phi.select(F.col("__id").alias(id_col), F.get(names, F.col("__i")).alias("feature"), "phi", "value")
 
 
+def _hybrid_sums(form: Additive, x: np.ndarray, gone: np.ndarray, feats: Sequence[str], bg: np.ndarray,
+                 perms: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """For every row and feature the sum of what its hybrids add, over all feature
+    orders and background rows, and whether one of them had a score.
+
+    A hybrid's weighted sum is the part of the row (the features taken so far)
+    plus the part of the background row (the rest), so the sums of all hybrids of
+    a step are one outer sum; each of them goes through the link."""
+    w = np.array([form.weights.get(f, 0.0) for f in feats])
+    used = np.array([f in form.weights for f in feats])
+    own, other = np.where(used, x, 0.0) * w, np.where(used, bg, 0.0) * w
+    total, known = np.zeros(x.shape), np.zeros(x.shape, dtype=bool)
+    rows = max(1, CELLS_AT_ONCE // len(bg))
+    for order in perms:
+        taken, missing = np.full(len(x), form.bias), np.zeros(len(x), dtype=bool)
+        before = None
+        for j in range(len(order) + 1):
+            if j:
+                taken, missing = taken + own[:, order[j - 1]], missing | (gone[:, order[j - 1]] & used[order[j - 1]])
+            rest = other[:, order[j:]].sum(axis=1)
+            score = np.concatenate([form.scores(taken[i:i + rows, None] + rest).sum(axis=1, dtype=float)
+                                    for i in range(0, len(x), rows)])
+            now = np.where(missing, 0.0, score), ~missing
+            if j:
+                total[:, order[j - 1]] += now[0] - before[0]
+                known[:, order[j - 1]] |= now[1] | before[1]
+            before = now
+    return total, known
+
+
+def _shapley_additive(form: Additive, df: DataFrame, id_col: str, feats: Sequence[str], bg: list[list[float]],
+                      perms: Sequence[Sequence[int]]) -> DataFrame:
+    """The same table as the general way: the hybrids of a batch of rows are scored
+    as matrices, and one row per input row leaves the task."""
+    ship_package(df.sparkSession)
+    p, base = len(feats), np.array(bg, dtype=float).reshape(len(bg), -1)
+    rows = df.select(F.col(id_col).alias("__id"), F.array(*[F.col(f).cast("double") for f in feats]).alias("__x"))
+    kind = rows.schema["__id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column("__x"), b.num_rows)
+            gone = b.column("__x").flatten().is_null().to_numpy(zero_copy_only=False).reshape(x.shape)
+            if form.strict and np.isnan(x).any():
+                raise ValueError("a row to explain has missing cells")
+            total, known = _hybrid_sums(form, np.where(gone, 0.0, x), gone, feats, base, perms)
+            sums = pa.array(total.ravel(), mask=~known.ravel())
+            each = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * p)
+            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__x"), pa.ListArray.from_arrays(each, sums)],
+                                             names=["__id", "__x", "__s"])
+
+    done = rows.mapInArrow(run, f"__id {kind}, __x array<double>, __s array<double>")
+    per_id = done.groupBy("__id").agg(F.first("__x").alias("__x"), *[
+        (F.sum(F.get("__s", F.lit(i))) / F.lit(len(perms) * len(bg))).alias(f"__phi{i}") for i in range(p)])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"__phi{i}").alias("phi"),
+                                        F.get("__x", F.lit(i)).alias("value")) for i, f in enumerate(feats)]))
+    return per_id.select(F.col("__id").alias(id_col), each.alias("__e")).select(id_col, "__e.*")
+
+
 def mean_abs_importance(phi: DataFrame) -> DataFrame:
     """XPL-2: (feature, importance) = mean |phi|."""
     return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
