@@ -150,3 +150,32 @@ def test_shapley_of_additive_scores_without_perturbed_rows(spark, signal):
             assert one[k] == (None if v is None else pytest.approx(v, abs=1e-12))
     with pytest.raises(Exception, match="missing cells"):
         xp.shapley_values(xp.model_predictor(model, "p1"), gaps, "id", feats, bg, 2).collect()
+
+
+def test_shadow_aucs_in_batches_of_trials(spark, monkeypatch):
+    """Groups, label blocks and batches smaller than the table change nothing: every
+    trial's AUCs are those of the rows matched by rank, ties and gaps included."""
+    import hashlib
+    monkeypatch.setattr(se, "COPIES_AT_ONCE", 130)
+    monkeypatch.setattr(se, "GROUP_ROWS", 4)
+    monkeypatch.setattr(se, "BLOCK", 16)
+    rnd = random.Random(7)
+    rows = [(i * 7, rnd.choice([0, 0, 1, None]), rnd.choice([1.0, 2.0, 3.0, None]), rnd.random()) for i in range(60)]
+    stored = []
+    monkeypatch.setattr(se, "materialize", lambda d, *a, _m=se.materialize, **k: stored.append(d.columns) or _m(d, *a, **k))
+    got = {(r["trial"], r["feature"]): r for r in se.auc_shadow_hits(
+        spark.createDataFrame(rows, "id long, y int, a double, b double"), "id", ["a", "b"], "y", 5, 11).collect()}
+    assert len(got) == 10 and stored.count(["trial", "i", "r2", "pos", "n"]) == 3
+    known = sorted(r for r in rows if r[1] is not None)
+
+    def auc(pairs):
+        pos, neg = ([v for y, v in pairs if y == k and v is not None] for k in (1, 0))
+        return abs(sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg)) - 0.5)
+
+    for t in range(5):
+        moved = sorted(known, key=lambda r: hashlib.md5(f"11:{t}:{r[0]}".encode()).hexdigest())
+        want = max(auc([(k[1], m[c]) for k, m in zip(known, moved)]) for c in (2, 3))
+        for c, f in ((2, "a"), (3, "b")):
+            assert got[t, f]["max_shadow"] == pytest.approx(want, abs=1e-12)
+            assert got[t, f]["importance"] == pytest.approx(auc([(k[1], k[c]) for k in known]), abs=1e-12)
+            assert got[t, f]["hit"] == int(got[t, f]["importance"] > got[t, f]["max_shadow"])
