@@ -53,3 +53,45 @@ def test_a_shadow_trial_computes_its_rows_once(spark, monkeypatch):
     hits = se.shadow_hits(d, "id", ["a", "b"], "y_signal", trials=3, num_trees=2).collect()
     assert [c.value for c in counts] == [300] * 3
     assert sorted((r["trial"], r["feature"]) for r in hits) == [(t, f) for t in range(3) for f in "ab"]
+
+
+def test_packed_blocks_give_the_rows_back(spark):
+    import numpy as np
+
+    from wideflow.functions.cross import blocks, packed
+    d = rows(spark).select(F.array("a", F.col("a") + 1).alias("x"), F.col("id").alias("key"),
+                           (F.col("id") % 3).cast("int").alias("fold")).repartition(2)
+    store = packed(d, "fold")
+    assert {k for r in store.collect() for k in r["folds"]} == {0, 1, 2}
+    got = [(int(k), *map(float, x)) for x, key, _ in blocks(
+        store.select("n", "x", "key", "fold").toArrow().to_batches(),
+        {"x": np.float64, "key": np.int64, "fold": np.int32}, 64) for k, x in zip(key, x, strict=True)]
+    assert sorted(got) == [(i, i * 37 % 101, i * 37 % 101 + 1) for i in range(300)]
+
+
+def test_elimination_ends_where_steps_are_lost_in_rounding(spark, monkeypatch):
+    from wideflow.operators import svm
+    own, passes = svm.one_pass, []
+    monkeypatch.setattr(svm, "one_pass", lambda *a: (passes.append(1), own(*a)))
+    d = spark.range(20_000, numPartitions=4).select(
+        *[(F.randn(i) * 0.1 + 0.5).alias(f"x{i}") for i in range(6)], F.randn(9).alias("e"),
+        (F.col("id") % 5).cast("int").alias("fold")).withColumn("y", (F.expr("x0 + x1 - x2 + 0.1 * e") > 0.5).cast("int"))
+    svm.eliminate(svm.training_rows(d, [f"x{i}" for i in range(6)], "y", "fold"), 6, [0, 1, 2, 3, 4, None])
+    assert len(passes) <= 50
+
+
+def test_partial_dependence_of_an_additive_score_makes_no_copies_of_rows(spark):
+    from wideflow.operators import explain as xp
+
+    def never(df):
+        raise AssertionError("rows were multiplied")
+
+    never.additive = xp.Additive({"a": 2.0, "b": 0.5}, 1.0)
+    d = rows(spark)
+    got = {r["grid_value"]: r["average"] for r in xp.partial_dependence(never, d, "a", [0.0, 3.0, 3.0]).collect()}
+    b = [r["b"] for r in d.collect() if r["b"] is not None]
+    assert got == {v: pytest.approx(1 + 2 * v + sum(b) / len(b) / 2) for v in (0.0, 3.0)}
+    general = xp.linear_predictor({"a": 2.0, "b": 0.5}, 1.0)
+    del general.additive
+    want = {r["grid_value"]: r["average"] for r in xp.partial_dependence(general, d, "a", [0.0, 3.0, 3.0]).collect()}
+    assert got == {v: pytest.approx(a) for v, a in want.items()}
