@@ -69,15 +69,17 @@ def test_packed_blocks_give_the_rows_back(spark):
     assert sorted(got) == [(i, i * 37 % 101, i * 37 % 101 + 1) for i in range(300)]
 
 
-def test_elimination_ends_where_steps_are_lost_in_rounding(spark, monkeypatch):
+def test_a_fit_ends_where_a_step_is_lost_in_rounding():
+    import numpy as np
+
     from wideflow.operators import svm
-    own, passes = svm.one_pass, []
-    monkeypatch.setattr(svm, "one_pass", lambda *a: (passes.append(1), own(*a)))
-    d = spark.range(20_000, numPartitions=4).select(
-        *[(F.randn(i) * 0.1 + 0.5).alias(f"x{i}") for i in range(6)], F.randn(9).alias("e"),
-        (F.col("id") % 5).cast("int").alias("fold")).withColumn("y", (F.expr("x0 + x1 - x2 + 0.1 * e") > 0.5).cast("int"))
-    svm.eliminate(svm.training_rows(d, [f"x{i}" for i in range(6)], "y", "fold"), 6, [0, 1, 2, 3, 4, None])
-    assert len(passes) <= 50
+    fit = svm.Fit([0], None, 1.0)
+    # the Newton step would lower a loss of 1e12 by about 1e-9
+    fit.receive(np.array([1.0, 1e12, 1e-3, 0.0, 1e3, 0.0, 0.0, 1e3]))
+    assert fit.done and list(fit.point) == [0.0, 0.0]
+    other = svm.Fit([0], None, 1.0)
+    other.receive(np.array([1.0, 1.0, 1e-3, 0.0, 1e3, 0.0, 0.0, 1e3]))
+    assert not other.done and other.point[0] < 0
 
 
 def test_partial_dependence_of_an_additive_score_makes_no_copies_of_rows(spark):
