@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wideflow.operators import impute as im
 from wideflow.operators import selection as se
+from wideflow.operators import split as sp
 from wideflow.plans import q_models
 
 
@@ -40,6 +42,33 @@ def test_preparation_computes_its_input_once(spark, monkeypatch):
         assert max(sizes) - min(sizes) <= 1
 
 
+def test_preparation_ranks_its_rows_once(spark, monkeypatch):
+    calls, own = [], sp.ranked_within
+    monkeypatch.setattr(sp, "ranked_within", lambda *a, **k: calls.append(1) or own(*a, **k))
+    monkeypatch.setattr(sp, "_beyond_cuts", lambda *a: pytest.fail("a ranking for the split alone"))
+    monkeypatch.setattr(q_models, "obs", lambda *_: rows(spark))
+    assert q_models.prepared(spark, None, ["a", "b"]).count() == 300
+    assert len(calls) == 1
+
+
+def test_one_ranking_gives_the_split_and_its_folds(spark):
+    d = rows(spark, 523).withColumn("y_signal", F.when(F.col("id") % 50 != 0, F.col("id") % 3))
+    got = sp.stratified_split_kfold(d, "id", "y_signal", 0.3, 4, 5)
+    apart = sp.stratified_split(d, "id", "y_signal", 0.3, 5)
+    apart = [sp.stratified_kfold(apart.where(F.col("split") == s), "id", "y_signal", 4, 5) for s in ("train", "test")]
+
+    def places(df):
+        return sorted((r["id"], r["y_signal"], r["split"], r["fold"]) for r in df.collect())
+
+    assert places(got) == places(apart[0].unionByName(apart[1]))
+
+
+def test_imputation_computes_its_input_once(spark):
+    df, seen = counted(spark, rows(spark))
+    out = im.IterativeImputer(["a", "b"], im.gbt_estimator(n_trees=2), max_iter=1).fit_transform(df)
+    assert out.where(F.col("b").isNull()).count() == 0 and seen.value == 300
+
+
 def test_a_shadow_trial_computes_its_rows_once(spark, monkeypatch):
     own, counts = se._permuted, []
 

@@ -127,6 +127,27 @@ def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 5, seed: i
              .drop("__rank", "__off"))
 
 
+def stratified_split_kfold(df: DataFrame, id_col: str, label: str, test_size: float = 0.2, k: int = 5,
+                           seed: int = 11, split: str = "split", fold: str = "fold") -> DataFrame:
+    """SPL-1, and SPL-2 inside each split with the same seed, by one ranking: the
+    train rows of a class are the first in its seeded order, so a row's rank inside
+    its split is its rank in the class, less the train rows for a test row."""
+    d = df.where(F.col(label).isNotNull())
+    alloc = materialize(train_allocation(d, label, [test_size]).select(label, "n_class", "n_train"))
+    before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    # ``cuts`` has one row per class.
+    cuts = alloc.select(label, F.col("n_train").alias("__cut"),
+                        F.coalesce(F.sum("n_train").over(before), F.lit(0)).alias("__off_train"),
+                        F.coalesce(F.sum(F.col("n_class") - F.col("n_train")).over(before), F.lit(0)).alias("__off_test"))
+    r = seeded_rank(d, id_col, label, seed, _largest(alloc), out="__rank").join(cuts, on=label, how="inner")
+    test = F.col("__rank") > F.col("__cut")
+    place = F.when(test, F.col("__off_test") + F.col("__rank") - F.col("__cut")).otherwise(
+        F.col("__off_train") + F.col("__rank"))
+    return (r.withColumn(split, F.when(test, "test").otherwise("train"))
+             .withColumn(fold, ((place - 1) % k).cast("int"))
+             .drop("__rank", "__cut", "__off_train", "__off_test"))
+
+
 def _largest(classes: DataFrame) -> int:
     """Rows of the largest class of a stored class table."""
     return classes.agg(F.max("n_class")).first()[0] or 0

@@ -33,18 +33,14 @@ FEATS = ["n_lines", "l_q", "r_q", "l_p", "r_p", "l_d", "r_d", "sbp", "dbp", "bmi
 def prepared(spark, sf, features=FEATS, k: int = 5):
     """obs -> label present -> mean fill -> stratified split (0.2, seed 11)
     -> min-max scale fitted on train -> 5 stratified folds inside each split,
-    stored once for the models of the query."""
-    raw = materialize(obs(spark, sf).where(F.col(LABEL).isNotNull()).select("id", LABEL, *features), spread=True)
-    # Every step reads its input several times, so each has its own stored one.
-    d = materialize(sp.stratified_split(im.fill(raw, list(features), "mean"), "id", LABEL, 0.2, 11), spread=True)
+    stored for the models of the query; readers scale as they read."""
+    # Filling and ranking read their input several times, so it is stored.
+    raw = materialize(obs(spark, sf).where(F.col(LABEL).isNotNull()).select("id", LABEL, *features))
+    filled = im.fill(raw, list(features), "mean")
+    d = materialize(sp.stratified_split_kfold(filled, "id", LABEL, 0.2, k, 11))
     release(raw)
     scaler = MinMaxModel.fit(d.where(F.col("split") == "train"), list(features))
-    scaled = scaler.transform(d)
-    tr = sp.stratified_kfold(scaled.where(F.col("split") == "train"), "id", LABEL, k, 11)
-    te = sp.stratified_kfold(scaled.where(F.col("split") == "test"), "id", LABEL, k, 11)
-    out = materialize(tr.unionByName(te).withColumn(LABEL, F.col(LABEL).cast("double")), spread=True)
-    release(d)
-    return out
+    return scaler.transform(d).withColumn(LABEL, F.col(LABEL).cast("double"))
 
 
 def _fit_predict(spark, sf, kind, params, features=FEATS):

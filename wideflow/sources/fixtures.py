@@ -29,8 +29,9 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min(p).alias("p_min"), F.max(p).alias("p_max"), F.sum(p).alias("p_cents"),
         F.min(d).alias("d_min"), F.max(d).alias("d_max"), F.sum(d).alias("d_pct"),
     )
-    j = (o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
-          .join(cu, o.o_custkey == cu.c_custkey, "left"))
+    # the customer first, while an order is few columns wide
+    j = (o.join(cu, o.o_custkey == cu.c_custkey, "left")
+          .join(per_order, o.o_orderkey == per_order.l_orderkey, "left"))
     i = F.col("o_orderkey")
     grade = F.substring("o_orderpriority", 1, 1).cast("int")
     dbl = lambda c: F.col(c).cast("double")
