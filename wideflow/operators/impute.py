@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from wideflow.functions.cross import cross_products, matrices, matrix
 from wideflow.functions.ranking import ordered_scan
-from wideflow.session import cut_lineage, ship_package
+from wideflow.session import cut_lineage, release, ship_package
 
 STRATEGIES = ("mean", "median", "mode")
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -377,6 +377,9 @@ class IterativeImputer:
 
     def fit(self, df: DataFrame) -> IterativeImputerModel:
         cols = self.cols
+        given = df
+        if getattr(df, "wideflow_path", None) is None:
+            df = cut_lineage(df)                     # read several times below
         stats = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
                        *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)],
                        F.greatest(*[F.max(F.abs(F.col(c).cast("double"))) for c in cols]).alias("absmax")
@@ -396,6 +399,8 @@ class IterativeImputer:
         work = work.select(*[F.coalesce(F.col(c), F.lit(means[c])).alias(c) if c in means else F.col(c)
                              for c in df.columns], *masks.values())
         work = cut_lineage(work)
+        if df is not given:
+            release(df)
         rounds = []
         usable = [c for c in cols if c in means]
         for it in range(self.max_iter):
