@@ -208,3 +208,39 @@ def test_no_shared_window_is_lost_in_a_corpus(spark, make_docs, edge_rows):
     assert taken > 500
     assert left.count((9, next(t for i, t in left if i == 9))) == sum(r[0] == 9 for r in rows)
     assert any(t is None for _, t in left) and ("" in [t for _, t in left])
+
+
+def test_near_copies_are_not_compared_all_with_all(spark):
+    from pyspark.sql import functions as F
+    from wideflow.llm.components import connected_components
+    rng, sets, members = random.Random(12), {}, []
+    for i in range(300):                                  # every third is too far from all others
+        own = set(range(90))
+        for j in rng.sample(sorted(own), 17 if i % 3 == 0 else rng.randint(2, 9)):
+            own.remove(j)
+            own.add(1000 * (i + 1) + j if j % 4 else 500 + j)
+        sets[i] = own
+        members.append((1, i))
+    for i in range(300, 312):                             # a few in buckets of their own, of other sizes
+        sets[i] = set(range(10_000, 10_000 + 20 + 2 * i - 600))
+        members += [(2, i), (3 + i % 2, i), (5, i)] + [(1, i)] * (i == 305)
+    near = lambda a, b: len(sets[a] & sets[b]) >= .8 * len(sets[a] | sets[b])
+    bucket = {}
+    for b, i in members:
+        bucket.setdefault(b, []).append(i)
+    links = {(a, b) for m in bucket.values() for a in m for b in m if a < b and near(a, b)}
+    m = substrings.stored(spark.createDataFrame([(b, i, len(sets[i])) for b, i in members], "bucket long, node long, z int"))
+    s = substrings.stored(spark.createDataFrame([(i, list(x)) for i, x in sets.items()], "node long, sh array<long>"))
+    seen = []
+
+    def verified(pairs):
+        got = [(r.a, r.b) for r in pairs.collect()]
+        seen.extend(got)
+        return spark.createDataFrame([(a, b) for a, b in got if near(a, b)], "a long, b long")
+
+    found = substrings.paragraph_links(m, s, verified)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()} <= links
+    of = lambda d: {(r.node, r.component) for r in connected_components(d).collect()}
+    all_links = spark.createDataFrame(sorted(links), "a long, b long")
+    assert of(found) == of(all_links) and all_links.where(F.col("a") < 300).count() > 1000
+    assert len(seen) < len(sets) ** 2 / 16                # a third with all others: three times as many or more

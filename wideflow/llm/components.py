@@ -49,36 +49,3 @@ def _state(e: DataFrame) -> tuple:
     r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
               F.bit_xor(F.xxhash64("v", "u"))).first()
     return tuple(r)
-
-
-def bucket_links(members: DataFrame, verified) -> DataFrame:
-    """``a``, ``b``: verified links between nodes that share a bucket, whose
-    components are those of all such links.
-
-    ``members`` is a stored table (``bucket``, ``node``); ``verified`` keeps the
-    true links of a frame of pairs (``a``, ``b``).  First every node of a bucket
-    is compared with the bucket's smallest node.  Then pairs of nodes whose
-    components differ so far are compared; nodes that are in a component
-    already meet others of their kind only where two components share a bucket.
-    A bucket full of copies of one text costs one comparison a member.
-    """
-    hubs = stored(members.groupBy("bucket").agg(F.min("node").alias("hub")))
-    star = stored(verified(members.join(hubs, "bucket").where(F.col("node") != F.col("hub"))
-                           .select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
-    groups = connected_components(star)
-    rest = stored(members.join(hubs, "bucket").where(F.col("node") != F.col("hub")).drop("hub")
-                  .join(groups, "node", "left")
-                  .select("bucket", "node", F.coalesce("component", "node").alias("c"),
-                          F.col("component").isNotNull().alias("many")))
-    right = rest.select("bucket", *[F.col(x).alias(f"{x}_2") for x in ("node", "c", "many")])
-    single = (rest.where(~F.col("many")).join(right, "bucket")
-              .where((F.col("c") != F.col("c_2")) & (F.col("many_2") | (F.col("node") < F.col("node_2")))))
-    lm, rm = rest.where("many"), right.where("many_2")
-    meet = (lm.select("bucket", "c").distinct().join(rm.select("bucket", "c_2").distinct(), "bucket")
-            .where(F.col("c") < F.col("c_2")))
-    crowd = meet.join(lm, ["bucket", "c"]).join(rm, ["bucket", "c_2"])
-    pairs = (single.select("node", "node_2").union(crowd.select("node", "node_2"))
-             .select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct())
-    out = stored(star.unionByName(verified(pairs)))
-    release(hubs, star, groups, rest)
-    return out

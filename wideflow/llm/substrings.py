@@ -20,6 +20,8 @@ doc_id; its copies in other documents are removals.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,10 +32,13 @@ from wideflow.session import release
 
 from .common import (_P, _Q, _power_table, digest, mix, pick, position, shingle_hashes, slices,
                      stored, with_key, word_hashes, word_spans)
-from .components import bucket_links, connected_components
+from .components import connected_components
 
 SHINGLE, JACCARD, BANDS, ROWS = 5, 0.8, 9, 4
 MIN_PASSAGE, SEED = 20, 8
+#: Paragraphs of a bucket up to which all its pairs are compared; in a larger one
+#: only those that share one of their rarest shingles.
+FEW = 16
 
 #: A unit: hash of its words, document, place (first word * 2**31 + words), bands.
 #: A text has under 2**31 bytes, so both parts of a place always fit.
@@ -269,6 +274,73 @@ def first_row():
     return F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "rid")
 
 
+def rare_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node``, ``score`` (in how many of ``nodes`` one of its shingles is, on average) and
+    ``rare``: of its rarest shingles, as many as a set of Jaccard similarity ``JACCARD``
+    must share one of, (``s``, ``left``: the shingles from this one on, itself included).
+    Those that one node alone has count, but are left out."""
+    own = (sets.join(nodes, "node", "left_semi")
+           .select("node", F.size("sh").alias("z"), F.explode("sh").alias("s")))
+    known = own.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    ordered = (own.join(known, "s").groupBy("node", "z")
+               .agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("n", "s"))).alias("t")))
+    # all shared ones are among the last size(t) of z, and at least JACCARD * z are
+    some = F.size("t") - F.ceil(F.col("z") * F.lit(JACCARD) - F.lit(1e-6)).cast("int") + F.lit(1)
+    rare = F.transform(F.slice("t", 1, F.greatest(some, F.lit(0))), lambda x, i: F.struct(
+        x["s"].alias("s"), (F.size("t") - i).alias("left")))
+    return ordered.select("node", (F.col("n") / F.col("z")).alias("score"), rare.alias("rare"))
+
+
+def paragraph_links(members: DataFrame, sets: DataFrame, verified) -> DataFrame:
+    """``a``, ``b``: verified links between paragraphs that share a bucket, whose
+    components are those of all such links.
+
+    ``members`` (``bucket``, ``node``, ``z``: shingles) and ``sets`` (``node``, ``sh``) are
+    stored tables; ``verified`` keeps the true links of a frame of pairs (``a``, ``b``).
+    First the paragraphs of a bucket that are about as long are compared with the
+    one of them whose shingles the most others have: of near copies that is one with
+    few edits, which most others are linked to.  Pairs whose components differ after
+    that are compared if their sizes allow a link and, in a bucket of more than
+    ``FEW``, if they share a shingle among their rarest and have enough shingles
+    from there on.  Every pair that is linked passes both.
+    """
+    sized = stored(members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+                                .where(F.col("m") > 1), "bucket"))
+    rare = stored(rare_shingles(sets, sized.where(F.col("m") > FEW).select("node").distinct()))
+    ranked = sized.join(rare.select("node", "score"), "node", "left").withColumn(
+        "length", F.floor(F.log("z") / F.lit(-math.log(JACCARD))))
+    hubs = ranked.groupBy("bucket", "length").agg(F.max(F.struct("score", "node")).alias("hub"))
+    star = stored(verified(ranked.join(hubs, ["bucket", "length"]).where(F.col("node") != F.col("hub.node"))
+                           .select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()))
+    groups = connected_components(star)
+    rest = stored(sized.join(groups, "node", "left")
+                  .select("bucket", "node", "z", "m", F.coalesce("component", "node").alias("c")))
+    # In a pair of two components one is not the bucket's largest.
+    mixed = (rest.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "c")).alias("most"))
+             .where(F.col("parts") > 1))
+    mixed = stored(rest.join(mixed, "bucket").select(
+        "bucket", "node", "z", "m", "c", (F.col("c") == F.col("most.c")).alias("main")))
+
+    def pairs(t: DataFrame, on: list[str], *conditions) -> DataFrame:
+        other = t.select(*on, *[F.col(x).alias(f"{x}_2") for x in t.columns if x not in on])
+        met = t.where(~F.col("main")).join(other, on).where(
+            (F.col("c") != F.col("c_2")) & (F.col("main_2") | (F.col("node") < F.col("node_2")))
+            & (F.least("z", "z_2") >= F.lit(JACCARD) * F.greatest("z", "z_2") - F.lit(1e-6)))
+        for x in conditions:
+            met = met.where(x)
+        return met.select(F.col("node").alias("a"), F.col("node_2").alias("b"))
+
+    few = mixed.where(F.col("m") <= FEW).drop("m")
+    many = (mixed.where(F.col("m") > FEW).drop("m")
+            .join(rare.select("node", F.inline("rare")), "node"))
+    enough = F.least("left", "left_2") >= F.lit(JACCARD / (1 + JACCARD)) * (F.col("z") + F.col("z_2")) - F.lit(1e-6)
+    met = pairs(few, ["bucket"]).union(pairs(many, ["bucket", "s"], enough)).distinct()
+    out = stored(star.unionByName(verified(met)))
+    release(sized, rare, star, groups, rest, mixed)
+    return out
+
+
 def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
     """``node`` and ``component`` of paragraphs that go with others that differ.  A
     component is named by its paragraph in the earliest document, which stays, and
@@ -298,8 +370,8 @@ def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
              .groupBy("node").agg(F.count(F.lit(1)).alias("u")))
     possible = stored(sets.select("node", F.size("sh").alias("z")).join(alone, "node", "left")
                       .where(F.coalesce("u", F.lit(0)) <= F.col("z") * F.lit(1 - JACCARD) + F.lit(1e-9))
-                      .select("node"))
-    members = stored(members.join(possible, "node", "left_semi"))
+                      .select("node", "z"))
+    met = stored(members.join(possible, "node"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("sh").alias("_a"))
@@ -308,7 +380,8 @@ def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
         return (pairs.join(left, "a").join(right, "b")
                 .where(both >= F.lit(JACCARD) * (F.size("_a") + F.size("_b") - both)).select("a", "b"))
 
-    linked = connected_components(bucket_links(members, verified))
+    links = paragraph_links(met, sets, verified)
+    linked = connected_components(links)
     keepers = stored(linked.join(distinct.select("node", "first"), "node").groupBy("component")
                      .agg(F.min(F.struct("first", "node")).alias("keeper"))
                      .select("component", F.col("keeper.node").alias("keeper")))
@@ -316,7 +389,7 @@ def paragraph_classes(rows: DataFrame, own: DataFrame) -> DataFrame:
                       .select(F.col("node").alias("a"), F.col("keeper").alias("b")))
     out = stored(direct.select(F.col("a").alias("node"), F.col("b").alias("component"))
                  .union(keepers.select("keeper", "keeper")))
-    release(distinct, shared, members, sets, possible, linked, keepers)
+    release(distinct, shared, members, met, sets, possible, links, linked, keepers)
     return out
 
 
