@@ -48,11 +48,20 @@ def out_of_fold(data: DataFrame, estimators: Mapping[str, object], id_col: str,
                 fold: str = "fold", parallelism: int = PARALLEL) -> DataFrame:
     """The out-of-fold score table of ``estimators`` (name -> estimator on the
     column of assembled features) over ``data`` (see :func:`assembled`)."""
+    return both_ways(data, estimators, id_col, label, fold, parallelism, whole=False)[0]
+
+
+def both_ways(data: DataFrame, estimators: Mapping[str, object], id_col: str, label: str, fold: str = "fold",
+              parallelism: int = PARALLEL, whole: bool = True) -> tuple[DataFrame, dict]:
+    """The out-of-fold score table, and name -> model fitted on all rows, with all of
+    these fits in one call: those that learn in lock step share their passes."""
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())
-    jobs = [(n, k) for n in estimators for k in folds]
-    models = fit_jobs(data, [(estimators[n], k) for n, k in jobs], fold, parallelism)
-    return materialize(reduce(DataFrame.unionByName, [
-        _scored(m, data.where(F.col(fold) == k), n, id_col, label, fold) for (n, k), m in zip(jobs, models, strict=True)]))
+    jobs = [(n, k) for n in estimators for k in [*folds, *([None] if whole else [])]]
+    models = dict(zip(jobs, fit_jobs(data, [(estimators[n], k) for n, k in jobs], fold, parallelism), strict=True))
+    scores = materialize(reduce(DataFrame.unionByName, [
+        _scored(m, data.where(F.col(fold) == k), n, id_col, label, fold) for (n, k), m in models.items()
+        if k is not None]))
+    return scores, {n: models[n, None] for n in estimators} if whole else {}
 
 
 def fit_jobs(data: DataFrame, jobs: Sequence[tuple[object, int | None]], fold: str | None = None,
